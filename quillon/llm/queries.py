@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import minhash, mixing, packing, suffix_dedup
 from .common import table
 
 
@@ -20,12 +21,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(table(spark, sf_dir, "documents")).drop("k")
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    keys = docs.select("doc_id", suffix_dedup.text_key(F.col("text")).alias("k"))
+    return keys.join(suffix_dedup.remove_repeats(docs), "k").drop("k")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_mix_sources, op7_minhash_near_dedup, op9_suffix_array_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
