@@ -311,3 +311,21 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     x = x.join(of_class, "rep").select("k", "class_id", "class_size", "rep")
     r = keyed.join(x, "k", "left")
     return r.select("doc_id", "k", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.when(F.col("rep").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without near copies: of each class the row with the smallest doc_id, text key stays, once."""
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("k"))
+    classes = cut(near_classes(docs, **options))
+    x = keyed.join(classes, "k")
+    best = x.groupBy("rep").agg(F.min(F.struct("doc_id", "k")).alias("best"))
+    drop = cut(x.join(best, "rep").where(~F.struct("doc_id", "k").eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("_d"), F.col("k").alias("_k")).distinct())
+    again = x.join(best, "rep").where(F.struct("doc_id", "k").eqNullSafe(F.col("best"))).groupBy("doc_id", "k").count().where("count > 1")
+    side = F.broadcast(drop) if drop.count() * 64 <= 16 << 20 else drop  # by its size; otherwise a shuffled join
+    on = F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == text_key(F.col("text")))
+    kept = docs.join(side, on, "left_anti")
+    if again.isEmpty():
+        return kept
+    twice = again.select(F.col("doc_id").alias("_d"), F.col("k").alias("_k"))
+    one = kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, on, "left_anti").unionByName(one)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, suffix_dedup
+from . import ann, embed_dedup, html_extract, langid, minhash, mixing, packing, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,43 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def fold(n: int) -> Column:
+    """crc32(doc_id as text) mod n; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(4) != 2))
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
+
+
+def op3_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity(table(spark, sf_dir, "pages"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple:
+    return toxicity.train(docs, labels.where(fold(5) != 0))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(docs, labels))
+    return scored.select("row.doc_id", "score", "predicted").withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.dedup(table(spark, sf_dir, "documents")).drop("k")
 
@@ -35,9 +72,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+FIXITY_SQL = """
+WITH r AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+  md5(concat_ws('|', CAST(page_id AS VARCHAR), url, coalesce(html, ''))) AS u FROM pages),
+d AS (SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:uuid:',
+  substr(u, 1, 8), '-', substr(u, 9, 4), '-', substr(u, 13, 4), '-', substr(u, 17, 4), '-', substr(u, 21, 12), '>', chr(13), chr(10),
+  'WARC-Date: 2026-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10),
+  'WARC-Payload-Digest: sha256:', sha256(html), chr(13), chr(10), 'Content-Length: ', CAST(strlen(html) AS VARCHAR), chr(13), chr(10), chr(13), chr(10),
+  html, chr(13), chr(10), chr(13), chr(10)) AS data FROM r)
+SELECT page_id, CAST(strlen(data) AS BIGINT) AS length, sha256(data) AS sha256, page_id % 97 = 5 AS corrupt FROM d
+"""
+
+
+def op5_fixity_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit without places in files, which SQL can state."""
+    return op5_merkle_fixity_audit(spark, sf_dir).select("page_id", "length", "sha256", "corrupt")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op7_minhash_near_dedup, op9_suffix_array_dedup, op10_best_fit_packing)}
+    ops = (op1_mix_sources, op2_language_id, op3_vantage_point_search, op4_html_main_text, op5_merkle_fixity_audit, op5_fixity_digests, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_best_fit_packing, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_fixity_digests": FIXITY_SQL}
