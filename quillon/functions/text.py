@@ -20,7 +20,7 @@ while who whom why will with won won't wouldn wouldn't y you you'd you'll you're
 
 def strip_comment(line: Column) -> Column:
     """Up to the first '#' outside double quotes; an escaped quote toggles too, as does one in an IRI."""
-    return F.regexp_extract(line, '^((?:[^"#]|"[^"]*(?:"|$))*)', 1)
+    return F.regexp_extract(line, '^([^"#]*+(?:"[^"]*+"?+[^"#]*+)*+)', 1)
 
 
 def empty_literals(line: Column) -> Column:

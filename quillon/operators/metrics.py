@@ -104,12 +104,12 @@ def check_capital(kg: KnowledgeGraph, show: str = "all", export_template: str |
 
 def blocks(lines: DataFrame) -> DataFrame:
     """lines(graph_id, line_no, text) as blocks that end with a line that has a full stop outside literals:
-    (graph_id, block, first_line, raw, text), comments, literals' contents and extra space taken out."""
+    (graph_id, block, first_line, n_lines, raw, text), comments, literals' contents and extra space taken out."""
     x = lines.withColumn("bare", X.strip_comment(F.col("text"))).where(T.nonblank(F.col("bare")))
     w = Window.partitionBy("graph_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     ends = X.empty_literals(F.col("bare")).contains(".").cast("int")
     x = x.withColumn("block", F.coalesce(F.sum(ends).over(w), F.lit(0)))
-    g = x.groupBy("graph_id", "block").agg(F.min("line_no").alias("first_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bare"))), lambda v: v["bare"]), " ").alias("raw"))
+    g = x.groupBy("graph_id", "block").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "bare"))), lambda v: v["bare"]), " ").alias("raw"))
     return g.withColumn("text", X.one_space(X.empty_literals(F.col("raw"))))
 
 
@@ -177,6 +177,7 @@ def class_graph(kg: KnowledgeGraph) -> tuple[DataFrame, DataFrame]:
     p = [T.SUBCLASS, T.OWL + "equivalentClass", T.OWL + "disjointWith", T.SKOS + "broader"]
     blank = kg.pattern(*p).where("o_kind = 'bnode'").select(*KEY).distinct()
     nodes = kg.typed(T.OWL + "Class").where("s_kind = 'iri'").select(*KEY).join(blank, KEY, "left_anti")
+    nodes = fixpoint.cut(nodes)  # read three times below
     e = kg.pattern(*p).where("s_kind = 'iri' and o_kind = 'iri'").select("graph_id", "s", "o")
     e = e.join(nodes, KEY, "left_semi").join(nodes.select("graph_id", F.col("s").alias("o")), ["graph_id", "o"], "left_semi")
     return nodes, e.select("graph_id", F.col("s").alias("a"), F.col("o").alias("b"))
