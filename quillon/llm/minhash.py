@@ -281,7 +281,7 @@ def near_classes(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, ban
     if split:
         x = members.join(big, "g", "left").withColumn("b", F.pmod(F.xxhash64("k"), F.coalesce("blocks", F.lit(1))).cast("int"))
         x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        members = x.withColumn("g", F.concat("g", F.least("b", "o").cast("binary"), F.greatest("b", "o").cast("binary"))).select(*members.columns)
+        members = x.withColumn("g", F.concat("g", F.encode(F.concat_ws(",", F.least("b", "o"), F.greatest("b", "o")), "utf-8"))).select(*members.columns)
 
     def verify(batches):
         for t in by_group(batches):
@@ -295,9 +295,11 @@ def near_classes(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, ban
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([low[c] for c in comp.tolist()], pa.binary())], names=["k", "rep"])
 
     found = members.select("g", "k", "total", "hashes", "weights").repartition("g").sortWithinPartitions("g").mapInArrow(verify, "k binary, rep binary")
+    joined = side.select("k")
     if split:
-        found = components(found.select(F.col("k").alias("u"), F.col("rep").alias("v"))).select(F.col("node").alias("k"), F.col("component").alias("rep"))
-    alone = vec.select("k").distinct().join(side.select("k"), "k", "left_anti").select("k", F.col("k").alias("rep"))
+        found = cut(components(found.select(F.col("k").alias("u"), F.col("rep").alias("v"))).select(F.col("node").alias("k"), F.col("component").alias("rep")))
+        joined = found.select("k")  # what no link joins is missing there
+    alone = vec.select("k").distinct().join(joined, "k", "left_anti").select("k", F.col("k").alias("rep"))
     return found.unionByName(alone)
 
 
