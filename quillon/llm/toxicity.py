@@ -3,7 +3,7 @@
 Features say which hashed words and word beginnings a text has. Weights are fitted by proximal
 AdaGrad on the logistic loss of a bounded, seeded sample of labelled rows (`max_rows` for each class),
 with an L1 term. In labelled texts that mention an identity group the terms are swapped for others of
-their kind, and the squared change of the score's logit is penalised, so that the mention
+their kind, and hidden, and the squared change of the score's logit is penalised, so that the mention
 by itself doesn't move a score. Fitting runs in one task; weights that aren't zero, at most `size` of
 them, go to the tasks that score whole texts.
 
@@ -38,55 +38,79 @@ SIZE = 1 << 18
 
 def features(texts: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature), each once; with weights, only features that have one."""
-    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    docs, found = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for a, b in chunks(texts):
         w = Words(texts[a:b])
         parts = [(w.doc, w.hash(w.start, w.stop, 1))]
         for n in (4, 5, 6):
             long = np.flatnonzero(w.stop - w.start > n)
             parts.append((w.doc[long], w.hash(w.start[long], w.start[long] + n, 1 + n)))
+        keys = []
         for d, h in parts:
             f = (h & np.uint64(SIZE - 1)).astype(np.int64)
             if weights is not None:
                 d, f = d[weights[f] != 0], f[weights[f] != 0]
-            docs.append(d + a), found.append(f)
-    key = np.unique(np.concatenate(docs) * SIZE + np.concatenate(found))
-    return key // SIZE, key % SIZE
+            keys.append(d * SIZE + f)
+        key = np.unique(np.concatenate(keys))
+        docs.append((key // SIZE + a).astype(np.int32)), found.append((key % SIZE).astype(np.int32))
+    return np.concatenate(docs), np.concatenate(found)
 
 
 def swapped(texts: list[str], groups=IDENTITY) -> tuple[list[int], list[str]]:
-    """Texts that mention identity terms, with each term swapped for the next of its kind, and the text's place."""
+    """Texts that mention identity terms, twice: each term swapped for the next of its kind, and each
+    term hidden; and the texts' places."""
     following = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
     term = re.compile(r"\b(?:" + "|".join(sorted(following, key=len, reverse=True)) + r")\b", re.I)
     at, out = [], []
     for i, t in enumerate(texts):
         s = term.sub(lambda m: following[m.group().lower()], t)
         if s != t:
-            at.append(i), out.append(s)
+            at += [i, i]
+            out += [s, term.sub("_", t)]
     return at, out
 
 
+class Sample:
+    """Features of labelled texts and of their counterfactuals, gathered batch by batch; texts aren't kept."""
+
+    def __init__(self, groups=IDENTITY):
+        self.groups, self.n, self.pairs = groups, 0, 0
+        self.parts: list[list] = [[], [], [], [], [], [], []]  # y; doc, f; pair, f of the text; pair, f of the other
+
+    def add(self, texts: list[str], y) -> None:
+        doc, f = features(texts)
+        at, changed = swapped(texts, self.groups)
+        sd, sf = features([texts[i] for i in at])
+        td, tf = features(changed)
+        for part, x in zip(self.parts, (np.asarray(y, np.float64), doc + self.n, f, sd + self.pairs, sf, td + self.pairs, tf)):
+            part.append(x)
+        self.n += len(texts)
+        self.pairs += len(at)
+
+    def arrays(self) -> list[np.ndarray]:
+        out = [np.concatenate(p) if p else np.zeros(0, np.int32) for p in self.parts]
+        self.parts = []
+        return out
+
+
 def logits(doc: np.ndarray, f: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=w[f], minlength=n)
 
 
-def fit(texts: list[str], y: np.ndarray, prior: float, *, groups=IDENTITY, penalty: float = 1.0, l1: float = 2e-4, rounds: int = 120, rate: float = 0.3) -> tuple[np.ndarray, float]:
+def fit(sample: Sample, prior: float, *, penalty: float = 4.0, l1: float = 2e-4, rounds: int = 120, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and intercept; prior: the share of label 1 among all labelled rows."""
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
+    y, doc, f, sd, sf, td, tf = sample.arrays()
+    n, pairs = sample.n, sample.pairs
+    if not n or y.min() == y.max():
+        share = float(y.mean()) if n else 0.0
         return np.zeros(SIZE), 30.0 if share == 1 else -30.0
-    doc, f = features(texts)
-    at, changed = swapped(texts, groups)
-    n = len(texts)
-    sd, sf = features([texts[i] for i in at]) if at else (doc[:0], f[:0])
-    td, tf = features(changed) if at else (doc[:0], f[:0])
     w, b, g2, gb2 = np.zeros(SIZE), 0.0, np.full(SIZE, 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(logits(doc, f, w, n) + b, -30, 30)))
         e = (p - y) / n
         g = np.bincount(f, weights=e[doc], minlength=SIZE)
-        if at:
-            change = 2 * penalty / n * (logits(sd, sf, w, len(at)) - logits(td, tf, w, len(at)))
+        if pairs:
+            change = penalty / n * (logits(sd, sf, w, pairs) - logits(td, tf, w, pairs))
             g += np.bincount(sf, weights=change[sd], minlength=SIZE) - np.bincount(tf, weights=change[td], minlength=SIZE)
         g2 += g * g
         step = rate / np.sqrt(g2)
@@ -99,7 +123,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float, *, groups=IDENTITY, penal
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, groups=IDENTITY, penalty: float = 1.0, seed: int = 3) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, groups=IDENTITY, penalty: float = 4.0, seed: int = 3) -> tuple[np.ndarray, float]:
     """Fits on docs(doc_id, text) joined to labels(doc_id, toxic): at most max_rows of each class, by seeded hash."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     share = known.agg(F.avg("toxic")).first()[0]
@@ -111,11 +135,12 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, groups=ID
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id").select("text", "toxic")
 
     def run(batches):
-        texts, y = [], []
+        sample = Sample(groups)
         for b in batches:
-            texts += b.column(0).to_pylist()
-            y += b.column(1).to_pylist()
-        w, b = fit(texts, np.array(y, np.float64), share, groups=groups, penalty=penalty)
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                sample.add(part.column(0).to_pylist(), part.column(1).to_pylist())
+        w, b = fit(sample, share, penalty=penalty)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([w[at].astype("<f4").tobytes()]), pa.array([b])], names=["at", "w", "b"])
 
