@@ -8,6 +8,9 @@ positions are computed by prefix doubling; suffixes are sorted by bucket and fir
 ties are resolved by the cover ranks at the offset that the two positions' residues share. Neighbours
 in that order with a common prefix of `length` bytes mark each other.
 
+A bucket that more than `hot_texts` texts share (a licence, say) isn't gathered in a task: its strings are
+counted by 128-bit digests with map-side sums, and joined back to their places.
+
 Texts that occur as whole copies are sorted once, as one text; they are removed entirely if they have
 `length` bytes. Keys are 128-bit digests of texts, so null or repeated doc_ids don't matter.
 
@@ -188,6 +191,22 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("k", "t", "shared").mapInArrow(cut_out, "h long, k binary, first long, seg binary")
 
 
+def hot_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(w, k, start, stop): each string whose minimum is hot, by a 128-bit digest, for counts without a bucket."""
+
+    def cut_out(batches):
+        for b in batches:
+            keys, data = b.column(0), [(t or "").encode() for t in b.column(1).to_pylist()]
+            hot = [set(np.array(x, np.int64).view(np.uint64).tolist()) for x in b.column(2).to_pylist()]
+            for doc, first, last, v, _ in runs(data, length):
+                for d, x, y in [(d, x, y) for d, x, y, m in zip(doc.tolist(), first.tolist(), last.tolist(), v.tolist()) if m in hot[d]]:
+                    at = np.arange(x, y + 1)
+                    digests = [hashlib.blake2b(data[d][i : i + length], digest_size=16).digest() for i in range(x, y + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([keys[d].as_py()] * len(at), pa.binary()), pa.array(at), pa.array(at + length)], names=["w", "k", "start", "stop"])
+
+    return texts.select("k", "t", "hot").mapInArrow(cut_out, "w binary, k binary, start long, stop long")
+
+
 def repeats(segs: DataFrame, length: int, block: int = 3 << 20) -> DataFrame:
     """(k, start, stop): bytes covered by repeated strings; whole buckets at a time, in blocks of some MB."""
 
@@ -230,16 +249,19 @@ def repeats(segs: DataFrame, length: int, block: int = 3 << 20) -> DataFrame:
     return segs.repartition("h").sortWithinPartitions("h").mapInArrow(blocks, "k binary, start long, stop long")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = False, hot_texts: int = 20_000) -> DataFrame:
     """One row for each distinct text: (k, n_bytes, n_removed, n_spans, kept_sha256[, kept]).
 
     k is text_key(text); kept: the bytes that stay, as text (halves of letters that a cut leaves are left out)."""
     keyed = docs.select(text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
     texts = keyed.groupBy("k").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
     found = anchors(keyed, length).persist()
-    shared = found.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("own").alias("own")).where("own or low <> high").select("h")
-    of_text = found.join(shared, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("shared"))
-    spans = repeats(segments(texts.join(of_text, "k"), length), length)
+    shared = found.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).where("own or low <> high").select("h", (F.col("n") > hot_texts).alias("is_hot"))
+    of_text = found.join(shared, "h").groupBy("k").agg(F.collect_set(F.expr("if(is_hot, null, h)")).alias("shared"), F.collect_set(F.expr("if(is_hot, h, null)")).alias("hot"))
+    spans = repeats(segments(texts.join(of_text.where(F.size("shared") > 0), "k"), length), length)
+    windows = hot_windows(texts.join(of_text.where(F.size("hot") > 0), "k"), length)  # planned away where nothing is hot
+    several = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+    spans = spans.unionByName(windows.join(several, "w", "left_semi").drop("w"))
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(batches):
