@@ -131,16 +131,17 @@ def fit(texts: list[str], labels: np.ndarray, n_labels: int, *, rounds: int = 30
 
 def train(docs: DataFrame, *, max_rows: int = 300, most_languages: int = 64, seed: int = 3) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Learns from docs(doc_id, text, lang): max_rows rows for each of the `most_languages` most frequent languages."""
-    key = F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")
+    space = 1 << 40
+    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(space)).alias("h")
     known = docs.select("text", "lang", key).where("text is not null and lang is not null")
-    narrow = known.select("lang", "h")
-    langs = sorted(r.lang for r in narrow.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect())
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect()
+    langs = sorted(r.lang for r in counts)
     if not langs:
         return [], np.zeros((SIZE, 0)), np.zeros((0, 0))
-    cuts = None  # the hash of each language's last row in the sample, found without the texts
-    for lang in langs:
-        x = narrow.where(F.col("lang") == lang).orderBy("h").limit(max_rows).groupBy("lang").agg(F.max("h").alias("last"))
-        cuts = x if cuts is None else cuts.unionByName(x)
+    # the hash of each language's last row in the sample, found without the texts among about 4 * max_rows small hashes
+    limits = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 4 * max_rows / r["count"]) * space)) for r in counts], "lang string, most long")
+    small = known.select("lang", "h").join(F.broadcast(limits), "lang").where("h < most")
+    cuts = small.groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h")).select("lang", F.element_at("h", F.least(F.size("h"), F.lit(max_rows))).alias("last"))
     sample = known.join(F.broadcast(cuts), "lang").where("h <= last").select("text", "lang")  # one row for each language
 
     def run(batches):

@@ -90,15 +90,15 @@ SELECT page_id, CAST(strlen(data) AS BIGINT) AS length, sha256(data) AS sha256,
 """
 
 
-def op5_fixity_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixity_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit without places in files, which SQL can state."""
     return op5_merkle_fixity_audit(spark, sf_dir).select("page_id", "length", "sha256", "corrupt")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mix_sources, op2_language_id, op3_vantage_point_search, op4_html_main_text, op5_merkle_fixity_audit, op5_fixity_digests, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_best_fit_packing, pipeline)
+    ops = (op1_mix_sources, op2_language_id, op3_vantage_point_search, op4_html_main_text, op5_merkle_fixity_audit, fixity_digests, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_best_fit_packing, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fixity_digests": FIXITY_SQL}
+    return {"fixity_digests": FIXITY_SQL}
