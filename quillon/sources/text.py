@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUESTION = """qid bigint, question string, answer array<string>, function string, commonness double, num_node int, num_edge int,
@@ -58,6 +58,4 @@ def questions(spark: SparkSession, source) -> DataFrame:
 def plain_questions(spark: SparkSession, path: str) -> DataFrame:
     """(idx, question): the non-blank lines of a text, in order."""
     x = lines(whole_texts(spark, [path])).select("line_no", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("question")).where("question <> ''")
-    from pyspark.sql import Window
-
     return x.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("idx"), "question")
