@@ -57,6 +57,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches as smaller ones, so that Python's copies of a batch stay small."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, slices
 
 GRAM = 32
 V, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
@@ -83,7 +83,7 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
     """(h, k, own): each document's minima once; own: it may hold a repeat within the document."""
 
     def find(batches):
-        for b in batches:
+        for b in slices(batches):
             keys = b.column(0)
             for doc, _, _, v, own in runs([(t or "").encode() for t in b.column(1).to_pylist()], length):
                 order = np.lexsort((v, doc))
@@ -173,7 +173,7 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
     """(h, k, first, seg): runs whose minimum is among the text's shared ones, with the bytes of all their strings."""
 
     def cut_out(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, data = b.column(0), [(t or "").encode() for t in b.column(1).to_pylist()]
             shared = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in b.column(2).to_pylist()]
             for doc, first, last, v, _ in runs(data, length):
@@ -188,14 +188,14 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                     segs = [data[d][x : y + length] for d, x, y in zip(doc[z], first[z], last[z])]
                     yield pa.RecordBatch.from_arrays([pa.array(v[z].view(np.int64)), keys.take(pa.array(doc[z])), pa.array(first[z]), pa.array(segs, pa.binary())], names=["h", "k", "first", "seg"])
 
-    return texts.select("k", "t", "shared").mapInArrow(cut_out, "h long, k binary, first long, seg binary")
+    return texts.select("k", "t", "shared", "n").mapInArrow(cut_out, "h long, k binary, first long, seg binary")
 
 
 def hot_windows(texts: DataFrame, length: int) -> DataFrame:
     """(w, k, start, stop): each string whose minimum is hot, by a 128-bit digest, for counts without a bucket."""
 
     def cut_out(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, data = b.column(0), [(t or "").encode() for t in b.column(1).to_pylist()]
             hot = [set(np.array(x, np.int64).view(np.uint64).tolist()) for x in b.column(2).to_pylist()]
             for doc, first, last, v, _ in runs(data, length):
@@ -204,10 +204,10 @@ def hot_windows(texts: DataFrame, length: int) -> DataFrame:
                     digests = [hashlib.blake2b(data[d][i : i + length], digest_size=16).digest() for i in range(x, y + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([keys[d].as_py()] * len(at), pa.binary()), pa.array(at), pa.array(at + length)], names=["w", "k", "start", "stop"])
 
-    return texts.select("k", "t", "hot").mapInArrow(cut_out, "w binary, k binary, start long, stop long")
+    return texts.select("k", "t", "hot", "n").mapInArrow(cut_out, "w binary, k binary, start long, stop long")
 
 
-def repeats(segs: DataFrame, length: int, block: int = 3 << 20) -> DataFrame:
+def repeats(segs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
     """(k, start, stop): bytes covered by repeated strings; whole buckets at a time, in blocks of some MB."""
 
     def solve(h: np.ndarray, keys: list, first: np.ndarray, segs: list[bytes]) -> pa.RecordBatch:
@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = Fals
     found = anchors(keyed, length).persist()
     shared = found.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).where("own or low <> high").select("h", (F.col("n") > hot_texts).alias("is_hot"))
     of_text = found.join(shared, "h").groupBy("k").agg(F.collect_set(F.expr("if(is_hot, null, h)")).alias("shared"), F.collect_set(F.expr("if(is_hot, h, null)")).alias("hot"))
+    # all readers of texts take n along, so that they share one exchange of the texts
     spans = repeats(segments(texts.join(of_text.where(F.size("shared") > 0), "k"), length), length)
     windows = hot_windows(texts.join(of_text.where(F.size("hot") > 0), "k"), length)  # planned away where nothing is hot
     several = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
@@ -265,7 +266,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = Fals
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(batches):
-        for b in batches:
+        for b in slices(batches):
             n_bytes, removed, count, sha, kept = [], [], [], [], []
             for t, n, found in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)]):
                 data = (t or "").encode()
