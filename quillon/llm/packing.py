@@ -40,13 +40,13 @@ class WordTokenizer:
     mark. White space bounds every token, so chunks with letters beyond Latin, with byte 0 or with
     special tokens' strings go through the library alone."""
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 100_000):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        self.path, self._slow = path, None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -67,6 +67,15 @@ class WordTokenizer:
         self.other = re.compile("[^\x01-\u024f]").search
         self.most, self.new, self.old = cache, {}, {}
 
+    @property
+    def slow(self):
+        """The library's tokenizer, loaded where a text needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def learn(self, words: set[str]) -> None:
         """Puts words into the newer generation of the cache."""
         if len(self.new) >= self.most:
