@@ -14,6 +14,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +59,10 @@ def buckets(x: np.ndarray, labels: np.ndarray, tables: int, functions: int, prob
     return np.stack(out, axis=1).view(np.int64)
 
 
+def hash_label(label) -> int:
+    return int(label) if isinstance(label, (int, np.integer)) else int.from_bytes(hashlib.blake2b(str(label).encode(), digest_size=7).digest(), "little")
+
+
 def pairs_within(x: np.ndarray, side: np.ndarray, threshold: float, step: int = 512):
     """Index pairs i < j with cosine at or above the threshold; side: None, or only pairs across its two values."""
     unit = x / np.sqrt(rowwise_dot(x, x))[:, None]
@@ -73,6 +79,7 @@ def pairs_within(x: np.ndarray, side: np.ndarray, threshold: float, step: int =
 
 def near_vectors(rows: DataFrame, *, threshold: float = 0.98, tables: int = 5, functions: int | None = None, probes: int = 2, block: int = 4096, seed: int = 11) -> DataFrame:
     """rows(vec_id, embedding, label) as (vec_id, n_links, component_id, kept)."""
+    single = dict(rows.dtypes)["embedding"] == "array<float>"  # the original precision is sent
     ok = valid(F.col("embedding")) & F.col("label").isNotNull()
     base = rows.select("vec_id", "label", F.when(ok, F.col("embedding").cast("array<double>")).alias("x"))
     base = base.withColumn("c", F.when(F.col("x").isNotNull(), F.xxhash64("label", "x")))
@@ -81,22 +88,24 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.98, tables: int = 5, f
         functions = max(2, round(np.log2(max(2, rows.count())) / 8))
 
     def hash_rows(batches):
+        """A row for each class and each of its buckets, once."""
         for b in batches:
             width = np.array([len(v) for v in b.column(2).to_pylist()])
             for w in np.unique(width):
                 part = b.take(pa.array(np.flatnonzero(width == w)))
                 x = matrix(part.column(2))
-                label = np.array([hash(str(v)) if not isinstance(v, (int, float)) else int(v) for v in part.column(1).to_pylist()], np.int64)
-                keys = buckets(x, label, tables, functions, probes, seed)
+                label = np.array([hash_label(v) for v in part.column(1).to_pylist()], np.int64)
+                keys = np.sort(buckets(x, label, tables, functions, probes, seed), axis=1)
+                once = np.c_[np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]
                 for s in range(0, len(x), 512):
-                    k = keys[s : s + 512]
-                    at = np.repeat(np.arange(len(k)) + s, k.shape[1])
-                    data = [x[i].tobytes() for i in range(s, s + len(k))]
-                    codes = [v.tobytes() for v in k]
-                    cols = [pa.array(k.ravel()), part.column(0).take(pa.array(at)), part.column(3).take(pa.array(at)), pa.array([data[i - s] for i in at], pa.binary()), pa.array([codes[i - s] for i in at], pa.binary())]
+                    k, o = keys[s : s + 512], once[s : s + 512]
+                    at, j = np.nonzero(o)
+                    data, codes = [v.tobytes() for v in x[s : s + 512].astype(np.float32 if single else np.float64)], [v.tobytes() for v in k]
+                    cols = [pa.array(k[at, j]), part.column(0).take(pa.array(at + s)), part.column(3).take(pa.array(at + s)), pa.array([data[i] for i in at], pa.binary()), pa.array([codes[i] for i in at], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["bucket", "c", "m", "x", "codes"])
 
-    hashed = classes.select("c", F.col("label").cast("long").alias("label") if dict(rows.dtypes)["label"] != "string" else "label", "x", "m").mapInArrow(hash_rows, "bucket long, c long, m long, x binary, codes binary").dropDuplicates(["bucket", "c"])
+    hashed = classes.select("c", "label", "x", "m").mapInArrow(hash_rows, "bucket long, c long, m long, x binary, codes binary")
+    # counted apart, without the vectors; the few hot buckets' table joins by broadcast where its size allows
     big = hashed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     placed = hashed.join(big, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -111,7 +120,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.98, tables: int = 5, f
             out_c, out_n, out_r = [], [], []
             for e in big_enough:
                 z = slice(edges[e], edges[e + 1])
-                x = np.stack([np.frombuffer(v, np.float64) for v in group.column(4)[z].to_pylist()])
+                x = np.stack([np.frombuffer(v, np.float32 if single else np.float64) for v in group.column(4)[z].to_pylist()]).astype(np.float64)
                 codes = np.stack([np.frombuffer(v, np.int64) for v in group.column(5)[z].to_pylist()])
                 cc, mm, ss = c[z], m[z], side[z]
                 n, comp = np.zeros(len(x), np.int64), np.arange(len(x))
