@@ -1,13 +1,15 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host are merged by path: for each (host, path of tags and classes) a node counts its
-pages and the distribution of its contents over pages. A node's content importance is the
-normalised entropy of that distribution (the same text on every page: 0), its presentation importance
-the normalised entropy of what kinds of children its parent shows over pages; a branch has the mean of
-its nodes, and branches below `least` leave each page of hosts with at least `min_pages` pages. HTML's own semantics come
-first: navigation, forms, scripts, notices and the like never count as text, and what an article or
-main element holds always does; the tree decides over all other branches, and over whole pages
-that have no such element.
+The DOMs of a host are merged by path: for each (host, path of tags and classes, weight of the tags) a
+node counts its pages and the distribution of its contents over pages. A node's content importance is
+the normalised entropy of that distribution (the same text on every page: 0), its presentation
+importance the normalised entropy of what kinds of children its parent shows over pages. A block of a
+node has an importance of its own, 1 - log(pages with that text in the node) / log(pages with the node).
+HTML's semantics are a feature of a node, its weight: what an article or main element holds counts
+for more, forms and names of furniture for less; navigation, asides, hidden elements and the like for
+nothing, with all they hold. Wherever they are, nodes and blocks whose weighted importance is below
+`least` leave the pages of hosts on which the node has at least `min_pages` pages; elsewhere there is
+nothing to compare, so importance is 1 and the weight decides. Copies of one page are one page.
 
 Defined cases: null or empty html is an empty text; a null url is a host of its own; repeated rows
 each give a row; unclosed tags, comments and cut-off pages are read as far as they go.
@@ -15,6 +17,7 @@ each give a row; unclosed tags, comments and cut-off pages are read as far as th
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -27,20 +30,20 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select button canvas audio video xmp noembed noframes".split())
-BOILER = frozenset("nav footer aside form head menu dialog".split())
+BOILER = frozenset("nav footer aside head menu dialog".split())
 NAMES = "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription popup modal overlay login signup search pagination pager toolbar widget widgets copyright legal skip"
 HINT = re.compile(r"(?:^|[-_\s])(?:" + "|".join(NAMES.split()) + r")(?:$|[-_\s\d])", re.I)
 TALK = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[-_\s\d])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SPACE = re.compile(r"\s+")
-KEEP, DROP, UNSURE = 1, 0, 2
+KEEP, UNSURE, LOW, DROP = 125, 100, 15, 0  # weights in percent
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(path, verdict, text) of every block of a page, in order."""
+    """(path, weight, text) of every block of a page, in order."""
     out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, int, bool]] = [("", "", UNSURE, False)]  # tag, path, verdict, in an article
+    stack: list[tuple[str, str, int, bool]] = [("", "", UNSURE, False)]  # tag, path, weight, in an article
     text: list[str] = []
 
     def flush() -> None:
@@ -97,17 +100,17 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             elif tag in ("td", "th", "tr"):
                 for t in ("td", "th") + ("tr",) * (tag == "tr"):
                     leave(t, frozenset(("table",)))
-        _, path, verdict, inside = stack[-1]
+        _, path, weight, inside = stack[-1]
         attributes = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
         names = attributes.get("class", "") + " " + attributes.get("id", "") if attributes else ""
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-        if hidden or tag in BOILER or tag == "header" and not inside:
-            verdict = DROP
+        if hidden or tag in BOILER or tag == "header" and not inside or attributes.get("role") in ROLES:
+            weight = DROP
         elif tag in ("article", "main") and not inside and not TALK.search(names):
-            verdict, inside = KEEP, True
-        elif names.strip() and tag != "body" and HINT.search(names) and not (inside and "header" in names.lower()) or attributes.get("role") in ROLES:
-            verdict = DROP
-        stack.append((tag, f"{path}/{tag}.{'.'.join(names.split())}" if names.strip() else f"{path}/{tag}", verdict, inside))
+            weight, inside = weight and KEEP, True
+        elif tag == "form" or names.strip() and tag != "body" and HINT.search(names) and not (inside and "header" in names.lower()):
+            weight = min(weight, LOW)
+        stack.append((tag, f"{path}/{tag}.{'.'.join(names.split())}" if names.strip() else f"{path}/{tag}", weight, inside))
     flush()
     return out
 
@@ -115,55 +118,67 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def style_tree(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5) -> DataFrame:
-    """(host, path): low-importance branches of each host of pages(host, html)."""
+def digest(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def style_tree(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Of each host of pages(host, html): (host, node), its nodes of low importance, and (host, block), digests of blocks of low importance in other nodes."""
 
     def nodes(batches):
         for b in batches:
-            host, path, kind, digest = [], [], [], []
+            host, path, weight, content, pages, body = [], [], [], [], [], []
             for i, page in enumerate(b.column(1).to_pylist()):
-                merged: dict[str, list[str]] = {}
-                for p, _, s in blocks(page or ""):
-                    merged.setdefault(p, []).append(s)
-                for p, s in merged.items():
-                    host.append(i), path.append(p), kind.append(p.rpartition("/")[2]), digest.append(" ".join(s))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(host, pa.int64())), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(digest, pa.string())], names=["host", "path", "kind", "content"])
-
-    found = pages.select("host", "html").mapInArrow(nodes, "host string, path string, kind string, content string")
-    found = found.select("host", "path", "kind", F.xxhash64("content").alias("content"))
-    seen = found.groupBy("host", "path", "kind", "content").agg(F.count(F.lit(1)).alias("n"))
-    node = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+                merged: dict[tuple[str, int], list[str]] = {}
+                found = blocks(page or "")
+                whole = digest(*(s for _, w, s in found if w))
+                for p, w, s in found:
+                    merged.setdefault((p, w), []).append(s)
+                for (p, w), texts in merged.items():
+                    rows = {digest(f"{p}@{w}", s): 1 for s in texts} if w else {}
+                    whole_node = digest(f"{p}@{w}", " ".join(texts))
+                    rows[whole_node] = rows.get(whole_node, 0) + (1 << 32)
+                    for d, n in rows.items():
+                        host.append(i), path.append(p), weight.append(w), content.append(d), pages.append(n), body.append(whole)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(host, pa.int64())), pa.array(path, pa.string()), *(pa.array(x, pa.int64()) for x in (weight, content, pages, body))], names=["host", "path", "weight", "content", "pages", "body"])
+
+    found = pages.select("host", "html").mapInArrow(nodes, "host string, path string, weight long, content long, pages long, body long")  # pages: as a node's whole content times 2^32, and as a block; one column, so that both readers share one exchange
+    seen = found.groupBy("host", "path", "weight", "content").agg(F.sum("pages").alias("pages"), F.min("body").alias("b0"), F.max("body").alias("b1"))
+    once = lambda n: F.when(F.col("b0") == F.col("b1"), F.least(n, F.lit(1))).otherwise(n)  # noqa: E731  # copies of one page
+    seen = seen.select("host", "path", "weight", "content", once(F.shiftright("pages", 32)).alias("n"), once(F.col("pages").bitwiseAND(F.lit((1 << 32) - 1))).alias("k"))
+    node = seen.where("n > 0").groupBy("host", "path", "weight").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = lambda m, nlogn: F.when(m > 1, (F.log(m) - nlogn / m) / F.log(m)).otherwise(F.lit(1.0))
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     node = node.withColumn("content", entropy(F.col("m"), F.col("nlogn"))).withColumn("parent", parent)
     kinds = Window.partitionBy("host", "parent")
     total = F.sum("m").over(kinds)
     style = node.withColumn("style", entropy(total, F.sum(F.col("m") * F.log("m")).over(kinds)))
-    branch = style.withColumn("branch", F.avg((F.col("content") * 3 + F.least("content", "style")) / 4).over(kinds))
-    importance = F.least("branch", (F.col("content") * 3 + F.least("content", "style")) / 4)
-    return branch.where((F.col("m") >= min_pages) & (importance < least)).select("host", "path")
+    importance = (F.col("content") * 3 + F.least("content", "style")) / 4
+    weighted = lambda x: x * F.col("weight") / 100 < least
+    rated = style.where((F.col("m") >= min_pages) & (F.col("weight") > 0)).select("host", "path", "weight", "m", weighted(importance).alias("low"))
+    low = rated.where("low").select("host", F.concat_ws("@", "path", "weight").alias("node"))
+    again = seen.where("k > 1").join(rated.where("not low"), ["host", "path", "weight"])
+    return low, again.where(weighted(1 - F.log("k") / F.log("m"))).select("host", F.col("content").alias("block"))
 
 
 def extract(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5, salts: int = 16) -> DataFrame:
     """pages(page_id, url, html) as (page_id, url, text, n_chars)."""
     hosted = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
-    low = style_tree(hosted, least=least, min_pages=min_pages)
-    low = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # paths of templates that repeat, so few for a host
+    nodes, repeats = style_tree(hosted, least=least, min_pages=min_pages)
+    low = nodes.select("host", "node", F.lit(None).cast("long").alias("block")).unionByName(repeats.select("host", F.lit(None).cast("string").alias("node"), "block"))
+    low = low.groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set("block").alias("repeats"))  # templates that repeat, so few for a host
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
 
     def texts(batches):
         for b in batches:
             out = []
-            for page, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                found = blocks(page or "")
-                weak = set(low or ())
-                if any(v == KEEP for _, v, _ in found):
-                    out.append("\n".join(s for _, v, s in found if v == KEEP))
-                else:
-                    out.append("\n".join(s for p, v, s in found if v == UNSURE and p not in weak))
+            for page, low, repeats in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+                weak, again = set(low or ()), set(repeats or ())
+                keep = lambda p, w, s: w >= least * 100 and (node := f"{p}@{w}") not in weak and not (again and digest(node, s) in again)
+                out.append("\n".join(s for p, w, s in blocks(page or "") if keep(p, w, s)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = salted.join(low, ["host", "salt"], "left").select("page_id", "url", "html", "low")
+    joined = salted.join(low, ["host", "salt"], "left").select("page_id", "url", "html", "low", "repeats")
     return joined.mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long")

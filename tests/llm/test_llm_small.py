@@ -384,6 +384,20 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_tree_inside_and_outside_articles(spark):
+    """op4: what each page of a host repeats goes from articles too, and an article is no reason to lose the rest."""
+    article = lambda i: f'<body><article><h1>Title {i}</h1><p>Story {i}.</p><p>Sign up now.</p><div class="note">All rights.</div></article></body>'
+    teaser = lambda i: f'<body><div class="text"><p>Body {i}.</p></div><aside><article>Read {i}</article></aside><div hidden><main>None {i}</main></div><article>Teaser</article></body>'
+    rows = [(i, f"http://a.org/{i}", article(i)) for i in range(8)] + [(10 + i, f"http://b.org/{i}", teaser(i)) for i in range(8)]
+    rows += [(20 + i, f"http://c.org/{i}", article(1)) for i in range(9)] + [(30, "http://c.org/z", "<article><h1>Other</h1><p>Text.</p></article>")]
+    rows += [(40, "http://d.org", "<body><form><article>In a form</article></form></body>"), (41, "http://d.org", teaser(1))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Title {i}\nStory {i}." for i in range(8)]
+    assert [got[10 + i] for i in range(8)] == [f"Body {i}." for i in range(8)]
+    assert got[20] == "Title 1\nStory 1.\nSign up now.\nAll rights." and got[30] == "Other\nText."  # copies of a page are no template
+    assert got[40] == "In a form" and got[41] == "Body 1.\nTeaser"
+
+
 # 5: WARC
 
 
