@@ -6,7 +6,7 @@ the normalised entropy of that distribution (the same text on every page: 0), it
 importance the normalised entropy of what kinds of children its parent shows over pages. A block of a
 node has an importance of its own, 1 - log(pages with that text in the node) / log(pages with the node).
 HTML's semantics are a feature of a node, its weight: what an article or main element holds counts
-for more, forms and names of furniture for less; navigation, asides, hidden elements and the like for
+for more, forms and classes or ids that are names of furniture for less; navigation, asides, hidden elements and the like for
 nothing, with all they hold. Wherever they are, nodes and blocks whose weighted importance is below
 `least` leave the pages of hosts on which the node has at least `min_pages` pages; elsewhere there is
 nothing to compare, so importance is 1 and the weight decides. Copies of one page are one page.
@@ -31,13 +31,25 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select button canvas audio video xmp noembed noframes".split())
 BOILER = frozenset("nav footer aside head menu dialog".split())
-NAMES = "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice notices alert comment comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe subscription popup modal overlay login signup search pagination pager toolbar widget widgets copyright legal skip"
-HINT = re.compile(r"(?:^|[-_\s])(?:" + "|".join(NAMES.split()) + r")(?:$|[-_\s\d])", re.I)
-TALK = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|repl(?:y|ies)|respond)(?:$|[-_\s\d])", re.I)
+NAMES = frozenset("nav navbar navigation menu masthead footer sidebar ad ads advert adverts advertisement advertising banner promo sponsor sponsored cookie cookies consent comment comments disqus replies breadcrumb breadcrumbs newsletter subscribe subscription popup modal login signup pagination pager".split())
+VAGUE = frozenset("header aside promotion notice notices alert reply respond share sharing social related recommended overlay search toolbar widget widgets copyright legal skip".split())  # of sections and subjects too
+TALK = frozenset("comment comments disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SPACE = re.compile(r"\s+")
-KEEP, UNSURE, LOW, DROP = 125, 100, 15, 0  # weights in percent
+KEEP, UNSURE, HALF, LOW, DROP = 125, 100, 50, 15, 0  # weights in percent
+
+
+def hint(names: str) -> int:
+    """Weight by classes and ids. Only whole ones count (ad, ad-2, cookie-notice), no words in others such as has-sidebar or legal-history."""
+    weight = UNSURE
+    for name in names.lower().split():
+        parts = [x for x in re.split(r"[-_]+|\d+$", name) if x]
+        if parts and all(x in NAMES or x in VAGUE for x in parts):
+            weight = min(weight, LOW if any(x in NAMES for x in parts) else HALF)
+    return weight
+
 
 
 def blocks(page: str) -> list[tuple[str, int, str]]:
@@ -106,10 +118,12 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
         if hidden or tag in BOILER or tag == "header" and not inside or attributes.get("role") in ROLES:
             weight = DROP
-        elif tag in ("article", "main") and not inside and not TALK.search(names):
+        elif tag in ("article", "main") and not inside and TALK.isdisjoint(names.lower().split()):
             weight, inside = weight and KEEP, True
-        elif tag == "form" or names.strip() and tag != "body" and HINT.search(names) and not (inside and "header" in names.lower()):
+        elif tag == "form":
             weight = min(weight, LOW)
+        elif names.strip() and tag not in ("html", "body") and tag not in HEADINGS and not (inside and "header" in names.lower()):
+            weight = min(weight, hint(names))
         stack.append((tag, f"{path}/{tag}.{'.'.join(names.split())}" if names.strip() else f"{path}/{tag}", weight, inside))
     flush()
     return out
@@ -122,8 +136,8 @@ def digest(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_tree(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Of each host of pages(host, html): (host, node), its nodes of low importance, and (host, block), digests of blocks of low importance in other nodes."""
+def style_tree(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5) -> DataFrame:
+    """(host, low, repeats): of each host of pages(host, html) its nodes of low importance, and digests of blocks of low importance in other nodes."""
 
     def nodes(batches):
         for b in batches:
@@ -142,11 +156,14 @@ def style_tree(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5) -> t
                         host.append(i), path.append(p), weight.append(w), content.append(d), pages.append(n), body.append(whole)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(host, pa.int64())), pa.array(path, pa.string()), *(pa.array(x, pa.int64()) for x in (weight, content, pages, body))], names=["host", "path", "weight", "content", "pages", "body"])
 
-    found = pages.select("host", "html").mapInArrow(nodes, "host string, path string, weight long, content long, pages long, body long")  # pages: as a node's whole content times 2^32, and as a block; one column, so that both readers share one exchange
+    found = pages.select("host", "html").mapInArrow(nodes, "host string, path string, weight long, content long, pages long, body long")  # pages: as a node's whole content times 2^32, and as a block
     seen = found.groupBy("host", "path", "weight", "content").agg(F.sum("pages").alias("pages"), F.min("body").alias("b0"), F.max("body").alias("b1"))
     once = lambda n: F.when(F.col("b0") == F.col("b1"), F.least(n, F.lit(1))).otherwise(n)  # noqa: E731  # copies of one page
     seen = seen.select("host", "path", "weight", "content", once(F.shiftright("pages", 32)).alias("n"), once(F.col("pages").bitwiseAND(F.lit((1 << 32) - 1))).alias("k"))
-    node = seen.where("n > 0").groupBy("host", "path", "weight").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    share = 1 - least * 100 / F.col("weight")  # a block is low where log k / log m is above; m is at least min_pages, so k above fewest
+    fewest = F.when(F.col("weight") > 0, F.pow(F.lit(float(min_pages)), share))
+    often = F.collect_list(F.when(F.col("k") > F.greatest(fewest * 0.999, F.lit(1.0)), F.struct("content", "k")))
+    node = seen.groupBy("host", "path", "weight").agg(F.sum("n").alias("m"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log("n"))).alias("nlogn"), often.alias("often"))
     entropy = lambda m, nlogn: F.when(m > 1, (F.log(m) - nlogn / m) / F.log(m)).otherwise(F.lit(1.0))
     parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     node = node.withColumn("content", entropy(F.col("m"), F.col("nlogn"))).withColumn("parent", parent)
@@ -155,18 +172,16 @@ def style_tree(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5) -> t
     style = node.withColumn("style", entropy(total, F.sum(F.col("m") * F.log("m")).over(kinds)))
     importance = (F.col("content") * 3 + F.least("content", "style")) / 4
     weighted = lambda x: x * F.col("weight") / 100 < least
-    rated = style.where((F.col("m") >= min_pages) & (F.col("weight") > 0)).select("host", "path", "weight", "m", weighted(importance).alias("low"))
-    low = rated.where("low").select("host", F.concat_ws("@", "path", "weight").alias("node"))
-    again = seen.where("k > 1").join(rated.where("not low"), ["host", "path", "weight"])
-    return low, again.where(weighted(1 - F.log("k") / F.log("m"))).select("host", F.col("content").alias("block"))
+    rated = style.where((F.col("m") >= min_pages) & (F.col("weight") > 0)).withColumn("low", weighted(importance))
+    again = F.transform(F.filter("often", lambda x: ~F.col("low") & weighted(1 - F.log(x.k) / F.log("m"))), lambda x: x.content)
+    low = rated.select("host", F.when(F.col("low"), F.concat_ws("@", "path", "weight")).alias("node"), again.alias("again")).where("node is not null or size(again) > 0")
+    return low.groupBy("host").agg(F.collect_list("node").alias("low"), F.flatten(F.collect_list("again")).alias("repeats"))  # templates, so few for a host
 
 
 def extract(pages: DataFrame, *, least: float = 0.2, min_pages: int = 5, salts: int = 16) -> DataFrame:
     """pages(page_id, url, html) as (page_id, url, text, n_chars)."""
     hosted = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
-    nodes, repeats = style_tree(hosted, least=least, min_pages=min_pages)
-    low = nodes.select("host", "node", F.lit(None).cast("long").alias("block")).unionByName(repeats.select("host", F.lit(None).cast("string").alias("node"), "block"))
-    low = low.groupBy("host").agg(F.collect_set("node").alias("low"), F.collect_set("block").alias("repeats"))  # templates that repeat, so few for a host
+    low = style_tree(hosted, least=least, min_pages=min_pages)
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
 

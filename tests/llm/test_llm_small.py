@@ -398,6 +398,19 @@ def test_html_tree_inside_and_outside_articles(spark):
     assert got[40] == "In a form" and got[41] == "Body 1.\nTeaser"
 
 
+def test_html_hints_are_whole_names(spark):
+    """op4: a word in a layout's class or in a section's or heading's id drops nothing; vague names leave it to the tree."""
+    kept = ["container right-sidebar", "has-sidebar", "page-wrapper header-fixed", "social-policy", "legal-history", "search", "comment-on-the-method", "related-work"]
+    gone = ["ad", "Sidebar", "ad-2", "cookie-notice", "box comments"]
+    rows = [(i, None, f'<div class="{c}"><p>Text</p></div>') for i, c in enumerate(kept + gone)]
+    rows += [(100 + i, None, f'<article><h2 id="comments">Head</h2><section id="{c}">Text</section></article>') for i, c in enumerate(kept)] + [(200, None, '<article class="post has-comments"><p>Text</p></article>')]
+    rows += [(300 + i, f"http://a.org/{i}", f'<div class="legal">Same</div><div class="search">Found {i}</div><div class="ad">Buy {i}</div>') for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=6).collect()}
+    assert [got[i] for i in range(len(kept + gone))] == ["Text"] * len(kept) + [""] * len(gone)
+    assert [got[100 + i] for i in range(len(kept))] == ["Head\nText"] * len(kept) and got[200] == "Text"
+    assert [got[300 + i] for i in range(8)] == [f"Found {i}" for i in range(8)]
+
+
 # 5: WARC
 
 
