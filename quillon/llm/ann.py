@@ -11,7 +11,8 @@ queries make one bounded task, and the k best of each shard merge by a window ov
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; a
 query with fewer candidates gets all; vectors of another width are no candidates; repeated rows
-other than the query's own vec_id are candidates each; ties go to the smaller vec_id.
+other than the query's own vec_id are candidates each; ties go to the smaller vec_id: trees hold distinct vectors, each with
+its smallest ids, and scores that rounding alone could part are computed alike before the k-th is cut.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .vectors import matrix, rowwise_dot, valid
 
-MARGIN = 12  # more than k are kept until scores are computed alike, for ties
+NEAR = 1e-9  # of the product of norms: scores closer than this may differ by rounding alone, so they tie until they are computed alike
 
 
 class VPTree:
@@ -43,41 +44,54 @@ class VPTree:
         return vp, mu, self.build(near), self.build(far)
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, factor: float, leaf: int = 96, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in x or -1, inner products) of the k best for each query, without rows of its own id."""
+def search(x: np.ndarray, first: np.ndarray, second: np.ndarray, more: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, factor: float, leaf: int = 96, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in x or -1, inner products) of the k best for each query, by score and then smallest id other than its own.
+
+    x are distinct vectors, first and (where more) second their smallest ids; those that have only the query's own don't count."""
     norm = rowwise_dot(x, x)
     top = norm.max()
     lifted = np.column_stack([x, np.sqrt(np.maximum(top - norm, 0))])
     tree = VPTree(lifted, leaf, seed)
     qq = rowwise_dot(q, q)
+    close = NEAR * np.sqrt(qq * top)
     flat = np.column_stack([q, np.zeros(len(q))])
-    best, at = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+    best, at, low = np.full((len(q), k), -np.inf), np.full((len(q), k), -1), np.zeros((len(q), k), first.dtype)
+
+    def meet(part: np.ndarray, who: np.ndarray) -> None:
+        score = q[who] @ x[part].T
+        mine = own[who][:, None] == first[part][None, :]
+        score[mine & ~more[part]] = -np.inf
+        least = best[who, -1]
+        if len(part) > k:
+            least = np.maximum(least, np.partition(score, len(part) - k, axis=1)[:, len(part) - k])
+        i, j = np.nonzero((score >= (least - close[who])[:, None]) & np.isfinite(score))
+        if not len(i):
+            return
+        some, i = np.unique(i, return_inverse=True)
+        w, v = who[some], part[j]
+        exact = np.concatenate([rowwise_dot(q[w[i[s : s + 65536]]], x[v[s : s + 65536]]) for s in range(0, len(i), 65536)])
+        number = np.where(first[v] == own[w[i]], second[v], first[v])
+        row, score = np.concatenate([np.repeat(np.arange(len(w)), k), i]), np.concatenate([best[w].ravel(), exact])
+        place, number = np.concatenate([at[w].ravel(), v]), np.concatenate([low[w].ravel(), number])
+        order = np.lexsort((number, -score, row))
+        begin = np.searchsorted(row[order], np.arange(len(w)))
+        pick = order[begin[:, None] + np.arange(k)]
+        best[w], at[w], low[w] = score[pick], place[pick], number[pick]
 
     def visit(node, who: np.ndarray) -> None:
         if not len(who):
             return
         if isinstance(node, np.ndarray):
             for s in range(0, len(node), 1024):
-                part = node[s : s + 1024]
-                score = q[who] @ x[part].T
-                score[own[who][:, None] == ids[part][None, :]] = -np.inf
-                some = (score > best[who, -1][:, None]).any(1)
-                w = who[some]
-                if not len(w):
-                    continue
-                both = np.concatenate([best[w], score[some]], 1)
-                place = np.concatenate([at[w], np.broadcast_to(part, (len(w), len(part)))], 1)
-                pick = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                b = np.take_along_axis(both, pick, 1)
-                order = np.argsort(-b, axis=1, kind="stable")
-                best[w], at[w] = np.take_along_axis(b, order, 1), np.take_along_axis(np.take_along_axis(place, pick, 1), order, 1)
+                for r in range(0, len(who), 2048):
+                    meet(node[s : s + 1024], who[r : r + 2048])
             return
         vp, mu, near, far = node
         d = np.sqrt(np.maximum(((flat[who] - lifted[vp]) ** 2).sum(1), 0))
         inner = d < mu
         visit(near, who[inner])
         visit(far, who[~inner])
-        tau = np.sqrt(np.maximum(qq[who] + top - 2 * best[who, -1], 0))  # of the k-th best so far; infinite before k
+        tau = np.sqrt(np.maximum(qq[who] + top - 2 * best[who, -1], 0) + 1e-12 * (qq[who] + top))  # of the k-th best so far; infinite before k
         cross = np.abs(d - mu) * factor <= tau + 1e-9
         visit(far, who[inner & cross])
         visit(near, who[~inner & cross])
@@ -87,6 +101,21 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: in
     return at, best
 
 
+def distinct(x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors; the ids of all, by vector and size, and the vectors' bounds in them. An id has k rows of a vector at most, a vector 2k."""
+    x = np.ascontiguousarray(x + 0.0)  # no -0.0
+    _, at, group = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    group = group.ravel()
+    order = np.lexsort((ids, group))
+    for key in (np.stack([group, ids], 1), group[:, None]):
+        sorted_key = key[order]
+        new = np.append(True, (sorted_key[1:] != sorted_key[:-1]).any(1))
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+        order = order[np.arange(len(order)) - begin < (k if key.shape[1] == 2 else 2 * k)]
+    bounds = np.searchsorted(group[order], np.arange(len(at) + 1))
+    return x[at], ids[order], bounds[:-1], bounds[1:]
+
+
 def nearest(rows: DataFrame, is_query, *, k: int = 20, factor: float = 1.2, shard: int = 8192, query_block: int = 16384) -> DataFrame:
     """rows(vec_id, embedding) as (query_id, rank, vec_id, score): the k nearest found of each query row."""
     good = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
@@ -102,10 +131,17 @@ def nearest(rows: DataFrame, is_query, *, k: int = 20, factor: float = 1.2, shar
             return empty
         x, q = matrix(left.column("x").combine_chunks()), matrix(right.column("x").combine_chunks())
         ids, own = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        at, _ = search(x, ids, q, own, min(k + MARGIN, len(x)), factor)
+        x, ids, begin, end = distinct(x, ids, k)
+        first = ids[begin]
+        last = ids[end - 1]  # of the 2k smallest; more than one id if it differs
+        second = np.array([ids[b + np.searchsorted(ids[b:e], ids[b], "right")] if ids[b] != ids[e - 1] else ids[b] for b, e in zip(begin, end)], ids.dtype)
+        at, best = search(x, first, second, first != last, q, own, min(k, len(x)), factor)
         i, j = np.nonzero(at >= 0)
-        v = at[i, j]
-        score = rowwise_dot(q[i], x[v])
+        v, score = at[i, j], best[i, j]
+        size = end[v] - begin[v]
+        i, score, v = np.repeat(i, size), np.repeat(score, size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[v], size)
+        other = ids[v] != own[i]
+        i, score, v = i[other], score[other], v[other]
         order = np.lexsort((ids[v], -score, i))
         i, v, score = i[order], v[order], score[order]
         first = np.searchsorted(i, np.arange(len(q)))

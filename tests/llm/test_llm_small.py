@@ -339,6 +339,22 @@ def test_ann(spark, vectors):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_ties(spark):
+    """op3: of more equal scores than k, of equal vectors and of others, the smallest ids."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 6)) * 0.1
+    x[100:400] = x[0] = [1, 1, 1, 1, 1, 1]  # equal vectors
+    x[20], x[400:500] = [0, 0, 0, 0, 0, 9], 0
+    x[400:500, 0], x[400:500, 5] = -np.arange(100) - 1, 8  # others of one score for 20
+    rows = [(int(i), [float(v) for v in x[i]]) for i in rng.permutation(600)] + [(101, [1.0] * 6)] * 5
+    got = collections.defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 20, 120), factor=1.0, shard=10000).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    for q in (0, 20, 120):
+        best = sorted((-float((x[q] * np.array(v)).sum()), i) for i, v in rows if i != q)[:20]
+        assert [i for _, i in sorted(set(got[q]))] == [i for _, i in best]
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_embedding_links(spark, vectors, block):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
