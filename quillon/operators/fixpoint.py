@@ -43,30 +43,40 @@ def backward_closure(start: DataFrame, edges: DataFrame) -> DataFrame:
         found = cut(found.unionByName(frontier))
 
 
-def list_items(heads: DataFrame, triples: DataFrame, rdf: str, most: int = 10_000) -> DataFrame:
-    """heads(graph_id, head) as (graph_id, head, i, item): items of RDF lists in order; a cycle ends at `most` cells."""
+def list_items(heads: DataFrame, triples: DataFrame, rdf: str) -> DataFrame:
+    """heads(graph_id, head) as (graph_id, head, i, item): items of RDF lists in order; of a list that runs into itself each cell once.
+
+    A walk meets the cell it marked at the last power of two steps if and only if it is in a cycle."""
     first = triples.where(F.col("p") == rdf + "first").groupBy("graph_id", F.col("s").alias("cell")).agg(F.min_by("o", "seq").alias("item"))
     rest = triples.where(F.col("p") == rdf + "rest").groupBy("graph_id", F.col("s").alias("cell")).agg(F.min_by("o", "seq").alias("next"))
     cells = cut(first.join(rest, ["graph_id", "cell"], "left"))
-    at, out = cut(heads.select("graph_id", "head", F.col("head").alias("cell")).distinct()), None
-    for i in range(most):
+    at, out = cut(heads.select("graph_id", "head", F.col("head").alias("cell"), F.lit(None).cast("string").alias("mark")).distinct()), None
+    i, cyclic = 0, False
+    while True:
         step = at.join(cells, ["graph_id", "cell"])
-        items = step.select("graph_id", "head", F.lit(i).alias("i"), "item")
+        items = step.select("graph_id", "head", "cell", F.lit(i).alias("i"), "item")
         out = items if out is None else out.unionByName(items)
-        at = cut(step.where(F.col("next").isNotNull() & (F.col("next") != rdf + "nil")).select("graph_id", "head", F.col("next").alias("cell")))
+        mark = F.col("cell") if i & (i + 1) == 0 else F.col("mark")
+        at = cut(step.where(F.col("next").isNotNull() & (F.col("next") != rdf + "nil")).select("graph_id", "head", F.col("next").alias("cell"), mark.alias("mark")))
+        if not at.where("cell = mark").isEmpty():
+            cyclic = True
+            at = cut(at.where("cell <> mark"))
         if at.isEmpty():
-            return out
-    return out
+            break
+        i += 1
+    if cyclic:
+        out = out.groupBy("graph_id", "head", "cell").agg(F.min("i").alias("i"), F.first("item").alias("item"))
+    return out.select("graph_id", "head", "i", "item")
 
 
-def first_paths(roots: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def first_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Pre-order walk from each root: (graph_id, root, node, path), where path holds the names of a node's first visit.
 
     roots(graph_id, s, qname), edges(graph_id, child, parent, qname of the child). A depth-first walk with children
-    in order of name first meets a node on its smallest path, so only improvements go on."""
+    in order of name first meets a node on its smallest path, so only improvements go on; paths hold a name once, so they end."""
     best = frontier = cut(roots.select("graph_id", F.col("s").alias("root"), F.col("s").alias("node"), F.array("qname").alias("path")))
     edges = cut(edges.select("graph_id", F.col("parent").alias("node"), F.col("child"), "qname"))
-    for _ in range(most):
+    while True:
         new = frontier.join(edges, ["graph_id", "node"]).where(~F.expr("array_contains(path, qname)"))
         new = new.groupBy("graph_id", "root", F.col("child").alias("node")).agg(F.min(F.concat("path", F.array("qname"))).alias("path"))
         old = best.select("graph_id", "root", "node", F.col("path").alias("old"))
@@ -74,4 +84,3 @@ def first_paths(roots: DataFrame, edges: DataFrame, most: int = 1000) -> DataFra
         if frontier.isEmpty():
             return best
         best = cut(best.unionByName(frontier).groupBy("graph_id", "root", "node").agg(F.min("path").alias("path")))
-    return best

@@ -93,9 +93,9 @@ class LogFile:
             log.removeHandler(h)
 
 
-def log_details(name: str, details: dict[str, DataFrame], most: int = 1000) -> None:
-    """Detail tables into the log, up to a number of lines each; the tables themselves stay whole."""
+def log_details(name: str, details: dict[str, DataFrame]) -> None:
+    """Whole detail tables into the log."""
     for part, df in details.items():
         log.info("%s: %s", name, part)
-        for r in df.limit(most).toLocalIterator():
+        for r in df.toLocalIterator():
             log.info("  %s", json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False))

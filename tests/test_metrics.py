@@ -135,6 +135,12 @@ def test_lists_and_terms(spark):
     assert [r[0] for r in x.select(T.naming_local(F.col("u"))).collect()] == ["b/c", "b", "c", ""]
 
 
+def test_lists_that_run_into_themselves(spark):
+    g = kg(spark, ":a rdf:first :x ; rdf:rest :b . :b rdf:first :y ; rdf:rest :c . :c rdf:first :z ; rdf:rest :b .".replace("rdf:", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#").replace("#first", "#first>").replace("#rest", "#rest>"))
+    heads = spark.createDataFrame([(g.triples.first().graph_id, "http://ex/#a")], "graph_id string, head string")
+    assert sorted((r.i, r.item[-1]) for r in fixpoint.list_items(heads, g.triples, T.RDF).collect()) == [(0, "x"), (1, "y"), (2, "z")]
+
+
 def test_empty_ontology(spark):
     g = kg(spark, "")
     for name in ("checkLabel", "classConnections", "leafNodeCheck", "semanticConnection", "duplicateLabels", "missingDomainRange", "externalLinks"):

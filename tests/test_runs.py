@@ -103,3 +103,9 @@ def test_merging_halves_keeps_the_terms(spark, files):
     one = task.ontology_terms(KnowledgeGraph.read(spark, str(files / "good.ttl")).triples)
     two = task.ontology_terms(KnowledgeGraph.read(spark, [str(files / "h1.ttl"), str(files / "h2.ttl")], merged=True).triples)
     assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_log_holds_whole_details(spark, tmp_path):
+    with report.LogFile(str(tmp_path / "a.log")):
+        report.log_details("leafNodeCheck", {"leaves": spark.range(1500)})
+    assert len((tmp_path / "a.log").read_text().splitlines()) == 1501
