@@ -19,7 +19,7 @@ MDS = "https://cwrusdle.bitbucket.io/mds/"
 TYPE = RDF + "type"
 SUBCLASS = RDFS + "subClassOf"
 LABEL = RDFS + "label"
-BOUND = {"cco": "http://www.ontologyrepository.com/CommonCoreOntologies/", "obo": "http://purl.obolibrary.org/obo/", "owl": OWL, "rdf": RDF, "rdfs": RDFS, "skos": SKOS}
+BOUND = {"mds": MDS, "cco": "https://www.commoncoreontologies.org/", "obo": "http://purl.obolibrary.org/obo/", "owl": OWL, "rdf": RDF, "rdfs": RDFS, "skos": SKOS}
 FOUNDATIONAL = sorted([RDF, RDFS, OWL, XSD, SKOS, DCTERMS, "http://qudt.org/vocab/unit/", "http://qudt.org/schema/qudt/", "http://www.w3.org/XML/1998/namespace"])
 
 

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """Ends df's lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; only local mode may go without."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint(eager=True)
 
 
@@ -46,27 +51,24 @@ def backward_closure(start: DataFrame, edges: DataFrame) -> DataFrame:
 def list_items(heads: DataFrame, triples: DataFrame, rdf: str) -> DataFrame:
     """heads(graph_id, head) as (graph_id, head, i, item): items of RDF lists in order; of a list that runs into itself each cell once.
 
-    A walk meets the cell it marked at the last power of two steps if and only if it is in a cycle."""
+    Pointer doubling: after k rounds all cells up to 2^k steps are known, so a list of n items takes log n rounds."""
     first = triples.where(F.col("p") == rdf + "first").groupBy("graph_id", F.col("s").alias("cell")).agg(F.min_by("o", "seq").alias("item"))
     rest = triples.where(F.col("p") == rdf + "rest").groupBy("graph_id", F.col("s").alias("cell")).agg(F.min_by("o", "seq").alias("next"))
     cells = cut(first.join(rest, ["graph_id", "cell"], "left"))
-    at, out = cut(heads.select("graph_id", "head", F.col("head").alias("cell"), F.lit(None).cast("string").alias("mark")).distinct()), None
-    i, cyclic = 0, False
+    jump = cells.where(F.col("next").isNotNull() & (F.col("next") != rdf + "nil")).select("graph_id", "cell", F.col("next").alias("to"))
+    jump = cut(jump.join(cells.select("graph_id", F.col("cell").alias("to")), ["graph_id", "to"], "left_semi").select("graph_id", "cell", "to"))
+    at = cut(heads.select("graph_id", "head", F.col("head").alias("cell"), F.lit(0).alias("i")).distinct())
+    step, before = 1, at.count()
     while True:
-        step = at.join(cells, ["graph_id", "cell"])
-        items = step.select("graph_id", "head", "cell", F.lit(i).alias("i"), "item")
-        out = items if out is None else out.unionByName(items)
-        mark = F.col("cell") if i & (i + 1) == 0 else F.col("mark")
-        at = cut(step.where(F.col("next").isNotNull() & (F.col("next") != rdf + "nil")).select("graph_id", "head", F.col("next").alias("cell"), mark.alias("mark")))
-        if not at.where("cell = mark").isEmpty():
-            cyclic = True
-            at = cut(at.where("cell <> mark"))
-        if at.isEmpty():
+        new = at.join(jump, ["graph_id", "cell"]).select("graph_id", "head", F.col("to").alias("cell"), (F.col("i") + step).alias("i"))
+        at = cut(at.unionByName(new).groupBy("graph_id", "head", "cell").agg(F.min("i").alias("i")))
+        now = at.count()
+        if now == before:
             break
-        i += 1
-    if cyclic:
-        out = out.groupBy("graph_id", "head", "cell").agg(F.min("i").alias("i"), F.first("item").alias("item"))
-    return out.select("graph_id", "head", "i", "item")
+        far = jump.select("graph_id", F.col("cell").alias("to"), F.col("to").alias("far"))
+        jump = cut(jump.join(far, ["graph_id", "to"]).select("graph_id", "cell", F.col("far").alias("to")))
+        step, before = 2 * step, now
+    return at.join(cells, ["graph_id", "cell"]).select("graph_id", "head", "i", "item")
 
 
 def first_paths(roots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,7 @@ from ..sources import probe
 from ..sources import text as raw
 from . import fixpoint
 
+log = logging.getLogger("quillon")
 KEY = ["graph_id", "s"]
 SHOW = ("all", "with", "without", "summary")
 
@@ -46,13 +48,20 @@ def _coverage(kg: KnowledgeGraph, has: DataFrame) -> dict[str, DataFrame]:
     return {"with": covered, "without": missing, "summary": x.withColumn("percent", F.round(pct, 1)).withColumn("grade", T.grade(pct))}
 
 
-def _shown(details: dict[str, DataFrame], show: str) -> dict[str, DataFrame]:
+def _valid(show: str) -> bool:
+    """Whether show is known; if not, that is logged, and the metric gives None."""
     if show not in SHOW:
-        raise ValueError(f"show must be one of {', '.join(SHOW)}")
+        log.error("show must be one of %s, not %s", ", ".join(SHOW), show)
+    return show in SHOW
+
+
+def _shown(details: dict[str, DataFrame], show: str) -> dict[str, DataFrame]:
     return details if show == "all" else {k: v for k, v in details.items() if k == show or show in ("with", "without") and k == "summary"}
 
 
-def check_label(kg: KnowledgeGraph, show: str = "all", export_template: str | None = None) -> MetricResult:
+def check_label(kg: KnowledgeGraph, show: str = "all", export_template: str | None = None) -> MetricResult | None:
+    if not _valid(show):
+        return None
     filled = kg.values(T.LABEL).where(T.nonblank(F.col("o"))).select(*KEY).distinct()
     shown = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit('"'), "o", F.lit('"@'), "o_lang")).otherwise(F.concat(F.lit('"'), "o", F.lit('"')))
     every = kg.values(T.LABEL).groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", shown.alias("l")))), lambda v: v["l"]).alias("labels"))
@@ -65,7 +74,9 @@ def check_label(kg: KnowledgeGraph, show: str = "all", export_template: str | No
     return _report(kg, _shown(d, show))
 
 
-def check_altlabel(kg: KnowledgeGraph, show: str = "all", export_template: str | None = None) -> MetricResult:
+def check_altlabel(kg: KnowledgeGraph, show: str = "all", export_template: str | None = None) -> MetricResult | None:
+    if not _valid(show):
+        return None
     alts = kg.values(T.SKOS + "altLabel").groupBy(*KEY).agg(
         F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", "o"))), lambda v: T.nonblank(v["o"])), lambda v: v["o"]).alias("altlabels"),
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "o"))), lambda v: v["o"]).alias("all_altlabels"),
@@ -79,7 +90,9 @@ def check_altlabel(kg: KnowledgeGraph, show: str = "all", export_template: str |
     return _report(kg, _shown(d, show))
 
 
-def check_definition(kg: KnowledgeGraph, show: str = "all", full_definitions: bool = False) -> MetricResult:
+def check_definition(kg: KnowledgeGraph, show: str = "all", full_definitions: bool = False) -> MetricResult | None:
+    if not _valid(show):
+        return None
     ok = T.truthy(F.col("o_kind"), F.col("o"), F.col("o_dtype"))
     first = kg.values(T.SKOS + "definition").groupBy(*KEY).agg(F.min_by(F.struct("o", ok.alias("ok")), "seq").alias("d")).where("d.ok")
     d = _coverage(kg, first.select(*KEY, F.col("d.o").alias("full")))
@@ -90,7 +103,9 @@ def check_definition(kg: KnowledgeGraph, show: str = "all", full_definitions: bo
     return _report(kg, _shown(d, show))
 
 
-def check_capital(kg: KnowledgeGraph, show: str = "all", export_template: str | None = None) -> MetricResult:
+def check_capital(kg: KnowledgeGraph, show: str = "all", export_template: str | None = None) -> MetricResult | None:
+    if not _valid(show):
+        return None
     local = T.naming_local(F.col("s"))
     good = kg.named_classes.where(T.capitalised(local)).withColumn("local_name", local)
     d = _coverage(kg, good)
@@ -214,7 +229,7 @@ def semantic_connection(kg: KnowledgeGraph, tree: bool = True) -> MetricResult:
     r = roots.join(stats.select("graph_id"), "graph_id", "left_semi").groupBy("graph_id").agg(F.count(F.lit(1)).alias("roots"), F.count_if("connected").alias("grounded"))
     x = stats.join(r, "graph_id", "left")
     d = {"roots": roots, "statistics": x.withColumn("ratio", T.ratio(F.col("grounded"), F.col("roots")))}
-    d["chains"] = roots.groupBy("graph_id", "connected").agg(F.array_sort(F.collect_list("qname")).alias("roots"))
+    d["chains"] = roots.select("graph_id", "connected", "qname").orderBy("graph_id", F.desc("connected"), "qname")
     if tree:
         children = kg.qnames(kg.edges, "child")
         d["tree"] = fixpoint.first_paths(roots, children).select("graph_id", "root", "node", "path", (F.size("path") - 1).alias("level")).orderBy("graph_id", "path")
@@ -227,8 +242,9 @@ def design_check(kg: KnowledgeGraph, required: tuple = (T.MDS + "inDomain", T.MD
     x = classes.join(filled, KEY, "left").withColumn("lack", F.array_except(F.array(*[F.lit(p) for p in required]), F.coalesce("have", F.array().cast("array<string>"))))
     c = _per_graph(kg, x.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size("lack") == 0).alias("valid")), total=0, valid=0)
     c = c.withColumn("score", T.ratio(F.col("valid"), F.col("total")))
-    lack = x.select("graph_id", F.explode("lack").alias("predicate"), "s").groupBy("graph_id", "predicate").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("s")).alias("classes"))
-    return MetricResult(c.select("graph_id", F.col("score").cast("string").alias("score")), {"counts": c, "missing": lack})
+    lack = x.select("graph_id", F.explode("lack").alias("predicate"), "s")
+    n = lack.groupBy("graph_id", "predicate").agg(F.count(F.lit(1)).alias("n"))
+    return MetricResult(c.select("graph_id", F.col("score").cast("string").alias("score")), {"counts": c, "missing": n, "missing_classes": lack.orderBy("graph_id", "predicate", "s")})
 
 
 def _probed(kg: KnowledgeGraph, found: DataFrame, prober: probe.Prober, kind: str) -> MetricResult:

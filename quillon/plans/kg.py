@@ -48,9 +48,9 @@ class KnowledgeGraph:
 
     @cached_property
     def bound(self) -> DataFrame:
-        """The graphs' prefixes after the six that are always bound."""
+        """The graphs' prefixes after those that are always bound."""
         fixed = self.spark.createDataFrame([(-1, k, v) for k, v in T.BOUND.items()], "seq int, prefix string, ns string")
-        return self.graphs.crossJoin(F.broadcast(fixed)).unionByName(self.prefixes)  # six constant rows for each graph
+        return self.graphs.crossJoin(F.broadcast(fixed)).unionByName(self.prefixes)  # a few constant rows for each graph
 
     def typed(self, *types: str) -> DataFrame:
         """(graph_id, s, s_kind) of the subjects of one of the types, once each."""

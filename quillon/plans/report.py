@@ -34,11 +34,13 @@ def space_csv(errors: DataFrame, path: str) -> None:
 
 
 def altlabel_template(classes: DataFrame, path: str) -> None:
-    """Turtle with a place for each missing alternative label, by prefixed name; the preferred label where it differs."""
-    note = F.when(F.col("preferred") != F.col("qname"), F.concat(F.lit("# "), "preferred", F.lit("\n"))).otherwise(F.lit(""))
-    text = classes.orderBy("qname").select(F.concat(note, F.col("qname"), F.lit(' skos:altLabel "TODO"@en .\n')).alias("t"))
+    """Turtle with a place for each missing alternative label, by prefixed name; the preferred label where it differs, on one line."""
+    one_line = F.regexp_replace("preferred", r"[\r\n\x0b\x0c\x85\u2028\u2029]+", " ")
+    label = F.when(F.col("preferred") != F.col("qname"), F.concat(F.lit("# Current label: "), one_line, F.lit("\n"))).otherwise(F.lit(""))
+    text = classes.orderBy("qname").select(F.concat(F.lit("# Class: "), F.col("qname"), F.lit("\n"), label, F.col("qname"), F.lit(' skos:altLabel "ADD_ALTERNATIVE_LABEL_HERE" .\n')).alias("t"))
     with open(path, "w", encoding="utf-8") as f:
-        f.write("@prefix skos: <http://www.w3.org/2004/02/skos/core#> .\n\n")
+        f.write("# Classes without a skos:altLabel: put a label in each place.\n\n")
+        f.write("@prefix skos: <http://www.w3.org/2004/02/skos/core#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n\n")
         for r in text.toLocalIterator():
             f.write(r.t + "\n")
 
@@ -64,7 +66,7 @@ def prepend_summary(rows: list[dict], files: list[str], path: str) -> None:
     skipped = [r for r in rows if str(r["Status"]).startswith("Skipped")]
     text = ["=" * 60, "Ontology design check: " + ", ".join(files), "=" * 60]
     text += [f"{r['Metric']:<24}{r['Status'] if r in failed or r in skipped else 'PASS' if r['Score'] in (None, '') else r['Score']}" for r in rows]
-    text += ["-" * 60, f"Passed: {len(rows) - len(failed) - len(skipped)}  Failed: {len(failed)}  Skipped: {len(skipped)}", ""]
+    text += ["-" * 60, f"  Passed: {len(rows) - len(failed) - len(skipped)}  |  Failed: {len(failed)}  |  Skipped: {len(skipped)}", ""]
     try:
         p = Path(path)
         old = p.read_text(encoding="utf-8") if p.exists() else ""

@@ -10,7 +10,8 @@ from ..sources import text
 from . import report
 from .kg import KnowledgeGraph
 
-DESIGN_CHECK = ["altLabelCheck", "checkLabel", "classCapitalCheck", "classSpaceCheck", "definitionCheck", "spellCheck"]
+DESIGN_CHECK = ["checkLabel", "definitionCheck", "semanticConnection", "classCapitalCheck", "classSpaceCheck", "duplicateLabels"]
+SKIPPED = {"Score": "N/A", "Status": "Skipped (--search-term not provided)"}
 
 
 def task_based(spark: SparkSession, ttl_files, questions, domain_prefixes: list[str], domain_ns_fragments: list[str] | None = None) -> dict:
@@ -23,8 +24,8 @@ def task_based(spark: SparkSession, ttl_files, questions, domain_prefixes: list[
     have, need = task.ontology_terms(kg.triples, domain_ns_fragments), task.task_terms(text.questions(spark, questions), list(domain_prefixes))
     x = task.compare(have, need).persist()
     s = task.relevance_accuracy(have, need).first()
-    side = lambda name: sorted(r.term for r in x.where(F.col("side") == name).select("term").toLocalIterator())
-    return {"relevance": s.relevance, "accuracy": s.accuracy, "T_o_count": s.t_o, "T_a_count": s.t_a, "intersection_count": s.common, "missing_terms": side("missing"), "unused_terms": side("unused")}
+    side = lambda name: {r.term for r in x.where(F.col("side") == name).select("term").toLocalIterator()}
+    return {"relevance": s.relevance, "accuracy": s.accuracy, "T_o_count": s.t_o, "T_a_count": s.t_a, "intersection": s.common, "missing_from_onto": side("missing"), "unused_in_onto": side("unused")}
 
 
 def task_rows(result: dict) -> list[dict]:
@@ -43,14 +44,17 @@ def run_metrics(kg: KnowledgeGraph, names: list[str], search_term: str | None =
             report.log.warning("unknown metric %s is left out", name)
             continue
         known.append(name)
-        if name == "searchClass" and not search_term:
-            rows |= {(g, name): {"Score": None, "Status": "Skipped: no search term"} for g in graphs}
+        if name == "searchClass" and search_term is None:
+            report.log.warning("searchClass is left out: --search-term is not given")
+            rows |= {(g, name): dict(SKIPPED) for g in graphs}
             continue
         kwargs = dict((options or {}).get(name, {}))
         if name == "searchClass":
             kwargs["search_term"] = search_term
         try:
             r = metrics.METRICS[name](kg, **kwargs)
+            if r is None:  # an option that the metric has logged as invalid
+                continue
             failed = {x.graph_id: x.error for x in r.failed.toLocalIterator()} if r.failed is not None else {}
             for x in r.score.toLocalIterator():
                 rows[x.graph_id, name] = {"Score": "N/A", "Status": f"Error: {failed[x.graph_id]}"} if x.graph_id in failed else {"Score": x.score, "Status": "Success"}
@@ -73,7 +77,7 @@ def run_assessment(spark: SparkSession, ttl_files, metrics_wanted=None, question
     with report.LogFile(log_file):
         if questions is not None:
             result = task_based(spark, files, questions, domain_prefixes, domain_ns_fragments)
-            report.log.info("relevance %.4f, accuracy %.4f, T_o %d, T_a %d; missing: %s; unused: %d", result["relevance"], result["accuracy"], result["T_o_count"], result["T_a_count"], ", ".join(result["missing_terms"]) or "none", len(result["unused_terms"]))
+            report.log.info("relevance %.4f, accuracy %.4f, T_o %d, T_a %d; missing: %s; unused: %d", result["relevance"], result["accuracy"], result["T_o_count"], result["T_a_count"], ", ".join(sorted(result["missing_from_onto"])) or "none", len(result["unused_in_onto"]))
             rows += task_rows(result)
         if names:
             rows += run_metrics(KnowledgeGraph.read(spark, files), list(names), search_term, options, details)

@@ -257,7 +257,7 @@ def question_json(spark, d):
 @query("SELECT unnest(regexp_extract_all(concat('Text. ```sparql', chr(10), sparql, '``` *Expected: one*'), '(?s)```sparql\\s*(.*?)```', 1)) AS sparql FROM (" + tables.QUESTIONS + ") q")
 def sparql_block_extract(spark, d):
     md = tables.questions(spark, d).select(F.concat(F.lit("Text. ```sparql\n"), "sparql", F.lit("``` *Expected: one*")).alias("md"))
-    return md.select(F.explode(F.regexp_extract_all("md", F.lit(r"(?s)```sparql\s*(.*?)```"), F.lit(1))).alias("sparql"))
+    return raw.fenced_queries(md.select("md"))
 
 
 @query(f"""SELECT 'duplicateLabels' AS metric, CAST(count(*) AS VARCHAR) AS score FROM (SELECT lower(trim(f.o)) AS label FROM t l JOIN (SELECT s, o FROM t WHERE p = '{T.LABEL}' AND seq = 1) f ON l.s = f.s

@@ -39,7 +39,7 @@ TRIPLES = "\nUNION ALL ".join([
     _row("pages", PAGE, T.RDFS + "seeAlso", "url", "iri", "url IS NOT NULL"), _row("pages", PAGE, T.DCAT + "downloadURL", "CASE WHEN page_id % 3 = 0 THEN concat(url, '.TTL') ELSE url END", "iri", "url IS NOT NULL"),
     _row("pages", PAGE, T.VOID + "sparqlEndpoint", "concat(url, '/sparql')", "iri", "url IS NOT NULL AND page_id % 11 = 0"),
 ])
-QUESTIONS = f"""SELECT concat('SELECT ?x WHERE {{ ?x a ex:part', cast(p_partkey as varchar(20)), ' }}') AS sparql FROM part WHERE p_partkey % 50 = 0
+QUESTIONS = f"""SELECT concat('SELECT ?x WHERE {{ ?x a ex:part', cast(p_partkey as varchar(20)), ' }}') AS sparql FROM part
 UNION ALL SELECT concat('SELECT ?x WHERE {{ ?x a ex:Unknown', cast(r_regionkey as varchar(20)), ' ; ex:Nation1 ?y }}') AS sparql FROM region"""
 
 

@@ -33,10 +33,13 @@ def json_questions(spark: SparkSession, path: str) -> DataFrame:
     return x.where(F.coalesce("sparql_query", F.lit("")) != "").select(F.col("sparql_query").alias("sparql"))
 
 
+def fenced_queries(texts: DataFrame) -> DataFrame:
+    """(sparql) of the fenced blocks in the Markdown texts of one column."""
+    return texts.select(F.explode(F.regexp_extract_all(texts.columns[0], F.lit(r"(?s)```sparql\s*(.*?)```"), F.lit(1))).alias("sparql"))
+
+
 def markdown_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(sparql) of a Markdown file's fenced blocks."""
-    x = spark.read.text(str(path), wholetext=True)
-    return x.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```sparql\s*(.*?)```"), F.lit(1))).alias("sparql"))
+    return fenced_queries(spark.read.text(str(path), wholetext=True))
 
 
 def questions(spark: SparkSession, source) -> DataFrame:

@@ -7,8 +7,8 @@ import pytest
 
 from quillon import cli
 from quillon.functions import text as X
-from quillon.functions.terms import MDS
-from quillon.operators import task
+from quillon.functions.terms import MDS, SKOS
+from quillon.operators import metrics, task
 from quillon.plans import questions, report, runner
 from quillon.plans.kg import KnowledgeGraph
 from quillon.sources import text as raw
@@ -39,7 +39,7 @@ def test_questions(spark, files):
 
 def test_task_based(spark, files):
     r = runner.task_based(spark, str(files / "good.ttl"), ["?x a mds:Laser ; mds:Lamp ?y"], ["mds"])
-    assert (r["T_o_count"], r["T_a_count"], r["intersection_count"]) == (3, 2, 1) and r["missing_terms"] == ["Lamp"] and r["unused_terms"] == ["Power", "p"]
+    assert (r["T_o_count"], r["T_a_count"], r["intersection"]) == (3, 2, 1) and r["missing_from_onto"] == {"Lamp"} and r["unused_in_onto"] == {"Power", "p"}
     assert r["relevance"] * r["T_a_count"] == r["accuracy"] * r["T_o_count"] == 1
     assert runner.task_based(spark, [str(files / "good.ttl")], [], ["mds"], [MDS[8:14]])["relevance"] == 0.0
 
@@ -48,7 +48,7 @@ def test_run(spark, files):
     out = runner.run_assessment(spark, [files / "good.ttl", files / "bad.ttl"], ["checkLabel", "duplicateLabels", "nonsense", "searchClass", "isolatedElements"], log_file=str(files / "l.log"), csv_file=str(files / "s.csv"))
     got = {(os.path.basename(r["graph_id"]), r["Metric"]): r["Status"] for r in out["rows"]}
     assert got["good.ttl", "duplicateLabels"] == "Success" and got["bad.ttl", "duplicateLabels"].startswith("Error") and got["bad.ttl", "checkLabel"] == "Success"
-    assert got["good.ttl", "searchClass"].startswith("Skipped") and got["good.ttl", "isolatedElements"] == "Error: division by zero" and len(got) == 8
+    assert got["good.ttl", "searchClass"] == "Skipped (--search-term not provided)" and {r["Score"] for r in out["rows"] if r["Metric"] == "searchClass"} == {"N/A"} and got["good.ttl", "isolatedElements"] == "Error: division by zero" and len(got) == 8
     rows = list(csv.reader(open(files / "s.csv")))
     assert rows[0] == ["Metric", "Score", "Status"] and len(rows) == 9 and (files / "l.log").read_text()
     assert runner.run_assessment(spark, files / "good.ttl", "checkLabel", log_file=str(files / "l.log"), csv_file=str(files / "s.csv"))["rows"] == []
@@ -57,9 +57,14 @@ def test_run(spark, files):
 def test_preset_and_templates(spark, files):
     log = files / "d.log"
     out = runner.run_assessment(spark, files / "good.ttl", "all", mds_design_check=True, log_file=str(log), csv_file=str(files / "s.csv"), options={"checkLabel": {"export_template": str(files / "missing.csv")}, "altLabelCheck": {"export_template": str(files / "alt.ttl")}, "classCapitalCheck": {"export_template": str(files / "none.csv")}})
-    assert [r["Metric"] for r in out["rows"]] == runner.DESIGN_CHECK and "Passed: 6  Failed: 0  Skipped: 0" in log.read_text()
-    assert "mds:Power" in (files / "missing.csv").read_text() and "mds:Laser skos:altLabel" in (files / "alt.ttl").read_text()
-    assert not (files / "none.csv").exists()  # nothing to export
+    assert [r["Metric"] for r in out["rows"]] == ["checkLabel", "definitionCheck", "semanticConnection", "classCapitalCheck", "classSpaceCheck", "duplicateLabels"]
+    assert "Passed: 6  |  Failed: 0  |  Skipped: 0" in log.read_text()
+    assert "mds:Power" in (files / "missing.csv").read_text() and not (files / "none.csv").exists()  # nothing to export
+    kg = KnowledgeGraph.from_text(spark, TTL + 'mds:Two rdfs:subClassOf mds:Laser ; rdfs:label "two\\nlines" .')
+    metrics.check_altlabel(kg, export_template=str(files / "alt.ttl"))
+    alt = (files / "alt.ttl").read_text()
+    assert '# Class: mds:Two\n# Current label: two lines\nmds:Two skos:altLabel "ADD_ALTERNATIVE_LABEL_HERE" .' in alt
+    assert KnowledgeGraph.from_text(spark, f"@prefix mds: <{MDS}> .\n" + alt).values(SKOS + "altLabel").count() == 3  # Turtle that reads
     report.results_csv([], "/nonexistent/x.csv")
 
 
@@ -109,3 +114,17 @@ def test_log_holds_whole_details(spark, tmp_path):
     with report.LogFile(str(tmp_path / "a.log")):
         report.log_details("leafNodeCheck", {"leaves": spark.range(1500)})
     assert len((tmp_path / "a.log").read_text().splitlines()) == 1501
+
+
+def test_an_empty_search_term_is_one(spark, files):
+    kg = KnowledgeGraph.read(spark, [files / "good.ttl"])
+    assert [r["Status"] for r in runner.run_metrics(kg, ["searchClass"], "")] == ["Success"]
+    assert runner.run_metrics(kg, ["checkLabel"], options={"checkLabel": {"show": "some"}})[0]["Score"] is None
+
+
+def test_grounding_uses_the_bound_prefixes(spark):
+    """A root in the current cco namespace is grounded where the file doesn't bind it; one in the old namespace isn't."""
+    head = "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix : <http://x/> . "
+    kg = KnowledgeGraph.from_text(spark, head + ":a rdfs:subClassOf <https://www.commoncoreontologies.org/ont00000995> . :b rdfs:subClassOf <http://www.ontologyrepository.com/CommonCoreOntologies/Agent> . :c rdfs:subClassOf <http://purl.obolibrary.org/obo/BFO_0000001> . :d rdfs:subClassOf <https://cwrusdle.bitbucket.io/mds/Top> .")
+    got = {r.qname: r.connected for r in metrics.semantic_connection(kg, tree=False).details["roots"].collect()}
+    assert got == {"cco:ont00000995": True, "<http://www.ontologyrepository.com/CommonCoreOntologies/Agent>": False, "obo:BFO_0000001": True, "mds:Top": False}
