@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
+BLANK = [bytes([b]) for b in b" \t\n\x0b\x0c\r"]
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +25,47 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all nodes share; without it, and in local mode only, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return shared or tempfile.mkdtemp(prefix="quillon-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Ends df's lineage with a reliable checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillon-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Sets the session's Arrow batches to at most so many bytes, or one longer row: both sides of a Python stage hold a few."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def gives_back(run):
+    """run for mapInArrow; after a task the worker's free memory goes back to the system, as later stages use the worker again."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(u, v) as rows (node, component), component = smallest node.
 
@@ -64,6 +101,23 @@ def slices(batches, rows: int = 512):
             yield b.slice(s, rows)
 
 
+def pieces(data: bytes, most: int, overlap: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(skip, piece): a text in pieces of at most `most` bytes that end between words.
+
+    A later piece begins with the `overlap` words before it, its first `skip` bytes. A stretch of most / 2
+    bytes without white space is cut inside, as if white space stood there."""
+    at = skip = 0
+    while len(data) - at > most:
+        end = max(data.rfind(c, at + most // 2, at + most) for c in BLANK)
+        end = end if end >= 0 else at + most
+        yield skip, data[at:end]
+        low = max(at + 1, end - most // 4)
+        before = [m.start() for m in WORD.finditer(data, low, end)] if overlap else []
+        back = before[-overlap] if overlap and len(before) >= overlap else before[0] if before else end
+        at, skip = back, end - back
+    yield skip, data[at:]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser over uint64."""
     x = x ^ (x >> np.uint64(30))
