@@ -11,7 +11,8 @@ from .functions import terms as T
 from .functions import text as X
 from .operators import fixpoint, metrics, task
 from .plans import questions as builder
-from .sources import tables
+from .plans.kg import KnowledgeGraph
+from .sources import probe, tables
 from .sources import text as raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +24,12 @@ NAMED = f"""named AS (SELECT DISTINCT s FROM (SELECT s FROM t WHERE s_kind = 'ir
 QNAME = f"CASE WHEN starts_with(s, '{BASE}') THEN concat('ex:', substr(s, {len(BASE) + 1})) ELSE concat('<', s, '>') END"
 
 
-def query(oracle: str | None = None, ctes: tuple = ()):
+def query(oracle: str | None = None, ctes: tuple = (), triples: str = tables.TRIPLES):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle:
             rec = "RECURSIVE " if "UNION\n" in oracle or any("UNION\n" in c for c in ctes) else ""
-            ORACLES[f.__name__] = f"WITH {rec}t AS ({tables.TRIPLES})" + "".join(f", {c}" for c in ctes) + "\n" + oracle
+            ORACLES[f.__name__] = f"WITH {rec}t AS ({triples})" + "".join(f", {c}" for c in ctes) + "\n" + oracle
         return f
 
     return add
@@ -283,3 +284,80 @@ def list_items(spark, d):
     t = cells.select("graph_id", F.col("i").cast("long").alias("seq"), name(F.col("i")).alias("s"), F.explode(F.create_map(F.lit(T.RDF + "first"), F.col("item"), F.lit(T.RDF + "rest"), rest)).alias("p", "o"))
     heads = cells.where("i = 1").select("graph_id", name(F.lit(1)).alias("head"))
     return fixpoint.list_items(heads, t, T.RDF).select("head", "i", "item")
+
+
+GROUNDED = f"(starts_with(s, 'https://www.commoncoreontologies.org/') OR starts_with(s, 'http://purl.obolibrary.org/obo/BFO_'))"
+
+
+@query(f"SELECT s, {GROUNDED} AS connected FROM roots", (NAMED, ROOTS), tables.RICH)
+def grounded_roots(spark, d):
+    """Roots in the current upper ontologies are grounded, those in an old namespace or the graph's own aren't."""
+    return metrics.semantic_connection(tables.graph(spark, d, text=tables.RICH), tree=False).details["roots"].select("s", "connected")
+
+
+@query(f"SELECT e.edges, e.parents, r.roots, r.grounded, CAST(r.grounded AS DOUBLE) / r.roots AS ratio FROM (SELECT count(*) AS edges, count(DISTINCT o) AS parents FROM t WHERE p = '{T.SUBCLASS}' AND s_kind = 'iri' AND o_kind = 'iri') e, (SELECT count(*) AS roots, count(*) FILTER (WHERE {GROUNDED}) AS grounded FROM roots) r", (NAMED, ROOTS), tables.RICH)
+def grounding_stats(spark, d):
+    x = metrics.semantic_connection(tables.graph(spark, d, text=tables.RICH), tree=False).details["statistics"]
+    return x.select("edges", "parents", "roots", "grounded", F.col("ratio").cast("double").alias("ratio"))
+
+
+DECLARED = f"s_kind = 'iri' AND ((p = '{T.TYPE}' AND o IN ('{T.OWL}Class', '{T.RDFS}Class', '{T.OWL}ObjectProperty', '{T.OWL}DatatypeProperty', '{T.RDF}Property')) OR p IN ('{T.LABEL}', '{T.RDFS}domain', '{T.RDFS}range'))"
+
+
+@query(f"SELECT DISTINCT regexp_extract(s, '[^#/]*$') AS term FROM t WHERE {DECLARED} AND NOT starts_with(s, '{T.SKOS}') AND regexp_extract(s, '[^#/]*$') <> ''", (), tables.RICH)
+def foreign_terms(spark, d):
+    """Terms of all namespaces but the foundational ones, without blank names."""
+    return task.ontology_terms(tables.graph(spark, d, text=tables.RICH).triples)
+
+
+@query(f"SELECT DISTINCT regexp_extract(s, '[^#/]*$') AS term FROM t WHERE {DECLARED} AND contains(s, 'other.org/x')", (), tables.RICH)
+def fragment_terms(spark, d):
+    return task.ontology_terms(tables.graph(spark, d, text=tables.RICH).triples, ["other.org/x", "nowhere"])
+
+
+OPERANDS = f"'{T.OWL}unionOf', '{T.OWL}intersectionOf', '{T.OWL}complementOf'"
+ATOMS = f"""atoms AS (SELECT DISTINCT s, s_kind FROM t WHERE p = '{T.TYPE}' AND o = '{T.OWL}Class' AND s NOT IN (SELECT s FROM t WHERE p IN ({OPERANDS}))
+ AND s NOT IN (SELECT s FROM t WHERE p IN ('{T.SUBCLASS}', '{T.OWL}equivalentClass') AND o IN (SELECT s FROM t WHERE p = '{T.TYPE}' AND o = '{T.OWL}Restriction')))"""
+LEADS = f"leads AS (SELECT s FROM atoms WHERE s_kind = 'iri' UNION\n SELECT x.s FROM leads l JOIN t x ON x.o = l.s WHERE x.o_kind <> 'literal' AND (x.s_kind = 'bnode' OR x.p IN ({OPERANDS})))"
+JOINED = f"""joined AS (SELECT s, o, s_kind, o_kind, s IN (SELECT s FROM atoms) AS sa, o IN (SELECT s FROM atoms) AS oa, s IN (SELECT s FROM leads) AS sl, o IN (SELECT s FROM leads) AS ol
+ FROM t WHERE p IN ('{T.SUBCLASS}', '{T.OWL}equivalentClass', '{T.OWL}disjointWith'))"""
+
+
+@query(f"""SELECT s FROM atoms WHERE s NOT IN (SELECT s FROM joined WHERE sa AND (oa OR (ol AND s_kind = 'iri'))) AND s NOT IN (SELECT o FROM joined WHERE oa AND (sa OR (sl AND o_kind = 'iri')))
+ AND s NOT IN (SELECT o FROM t WHERE p IN ('{T.RDFS}domain', '{T.RDFS}range') AND o_kind = 'iri' AND o IN (SELECT s FROM leads) AND s IN (SELECT s FROM t WHERE p = '{T.TYPE}' AND o IN ('{T.OWL}ObjectProperty', '{T.OWL}DatatypeProperty')))""", (ATOMS, LEADS, JOINED), tables.RICH)
+def isolated_with_expressions(spark, d):
+    """Isolated classes where unions of classes tie some of them through blank nodes and list cells."""
+    return metrics.isolated_elements(tables.graph(spark, d, True, tables.RICH)).details["classes"].select("s")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 2 = 0) AS reached, CAST(CAST(count(*) FILTER (WHERE page_id % 2 = 0) AS DOUBLE) / count(*) AS VARCHAR) AS score FROM pages WHERE url IS NOT NULL AND page_id % 11 = 0")
+def reached_endpoints(spark, d):
+    """The ratio of endpoints that answer, by a table of known answers."""
+    answers = tables.views(spark, d, ("pages",))["pages"].where("url is not null").select(F.concat("url", F.lit("/sparql")).alias("url"), F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status"))
+    r = metrics.sparql_endpoint(tables.graph(spark, d), probe.known(answers))
+    return r.details["counts"].join(r.score, "graph_id").select("total", "reached", "score")
+
+
+PART_TEXT = """SELECT cast(p_partkey as varchar(20)) AS graph_id, concat('# a owl:Class .', chr(10), CASE WHEN p_size % 3 = 0 THEN concat('ex:Part ', cast(p_partkey as varchar(20)), ' a owl:Class .') WHEN p_size % 3 = 1
+ THEN concat('ex:Part', cast(p_partkey as varchar(20)), ' a owl:Class ; rdfs:label "x y . z" .') ELSE concat('ex:Part ', cast(p_partkey as varchar(20)), ' ex:says "it is a owl:Class" .') END) AS text FROM part"""
+
+
+@query("SELECT cast(p_partkey as varchar(20)) AS graph_id, concat('ex:Part ', cast(p_partkey as varchar(20))) AS class_name, CAST(2 AS BIGINT) AS line_number, concat('ex:Part ', cast(p_partkey as varchar(20)), ' a owl:Class .') AS line_text FROM part WHERE p_size % 3 = 0")
+def space_errors(spark, d):
+    """Declarations whose subject has a space; comments and literals don't count."""
+    texts = tables.sql(spark, d, PART_TEXT, ("part",))
+    kg = KnowledgeGraph(tables.graph(spark, d).triples, texts=texts, graphs=texts.select("graph_id"))
+    return metrics.check_space(kg).details["errors"].withColumn("line_number", F.col("line_number").cast("long"))
+
+
+CLEAN = r"regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\x00-\x7F]', ' ', 'g'), '[?.,;:!()-]', ' ', 'g')"
+CONTENT = "list_aggregate(list_filter(string_split_regex(trim({}), '[ \t\n\x0B\f\r]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOPWORDS) + "], w)), 'string_agg', ' ')"
+
+
+@query(rf"""SELECT idx, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '|') ELSE coalesce(whole, '') END AS phrases FROM (SELECT idx,
+ list_filter(list_transform(string_split_regex(clean, '\b(?:and|or|with|for)\b'), lambda p: coalesce({CONTENT.format("p")}, '')), lambda p: p <> '') AS parts, {CONTENT.format("clean")} AS whole
+ FROM (SELECT conv_id * 1000 + turn AS idx, {CLEAN} AS clean FROM conversations WHERE role = 'user') a) b""")
+def question_phrases_ascii(spark, d):
+    """Phrases of all questions with letters beyond ASCII taken out, where word boundaries mean the same in both engines."""
+    x = _turns(spark, d).withColumn("question", F.regexp_replace("question", r"[^\x00-\x7F]", " "))
+    return x.select("idx", F.array_join(X.phrases(F.col("question")), "|").alias("phrases"))

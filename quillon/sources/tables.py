@@ -39,6 +39,20 @@ TRIPLES = "\nUNION ALL ".join([
     _row("pages", PAGE, T.RDFS + "seeAlso", "url", "iri", "url IS NOT NULL"), _row("pages", PAGE, T.DCAT + "downloadURL", "CASE WHEN page_id % 3 = 0 THEN concat(url, '.TTL') ELSE url END", "iri", "url IS NOT NULL"),
     _row("pages", PAGE, T.VOID + "sparqlEndpoint", "concat(url, '/sparql')", "iri", "url IS NOT NULL AND page_id % 11 = 0"),
 ])
+UNION, CELL = f"concat('{BASE}Union', cast(p_partkey as varchar(20)))", "concat('_:c', cast(p_partkey as varchar(20)))"
+#: The same graph with what the plain mapping lacks: roots in upper ontologies, foundational and blank names, unions of classes.
+RICH = TRIPLES + "\nUNION ALL " + "\nUNION ALL ".join([
+    _row("supplier", SUPPLIER, T.SUBCLASS, "concat('https://www.commoncoreontologies.org/ont', cast(s_nationkey as varchar(20)))", where="s_acctbal > 3000"),
+    _row("customer", CUSTOMER, T.SUBCLASS, "concat('http://purl.obolibrary.org/obo/BFO_', cast(c_nationkey as varchar(20)))", where="c_acctbal > 6000"),
+    _row("customer", CUSTOMER, T.SUBCLASS, "concat('http://www.ontologyrepository.com/CommonCoreOntologies/Old', cast(c_nationkey as varchar(20)))", where="c_acctbal < 100"),
+    _row("nation", f"concat('{T.SKOS}Concept', cast(n_nationkey as varchar(20)))", T.TYPE, CLASS), _row("nation", "concat('http://other.org/x/', lower(n_name))", T.LABEL, "lower(n_name)", "literal"),
+    _row("region", "'http://ex.org/blank#'", T.LABEL, "'blank'", "literal", distinct=True),
+    _row("part", UNION, T.TYPE, CLASS, where="p_size % 4 = 1"), _row("part", UNION, T.OWL + "unionOf", CELL, "bnode", "p_size % 4 = 1"),
+    _row("part", UNION, T.TYPE, CLASS, where="p_size % 4 = 2"), _row("part", UNION, T.SUBCLASS, CELL, "bnode", "p_size % 4 = 2"),
+    _row("part", CELL, T.OWL + "unionOf", CELL.replace("_:c", "_:d"), "bnode", "p_size % 4 = 2", s_kind="bnode"), _row("part", CELL.replace("_:c", "_:d"), T.RDF + "first", NATION.replace("n_nationkey", "p_partkey % 25"), "iri", "p_size % 4 = 2", s_kind="bnode"),
+    _row("part", CELL, T.RDF + "first", f"'{BASE}Nation2'", "iri", "p_size % 4 = 1", s_kind="bnode"), _row("part", UNION, T.TYPE, CLASS, where="p_size % 4 = 3"),
+    _row("part", UNION, T.OWL + "disjointWith", f"concat('{BASE}Nowhere', cast(p_size as varchar(20)))", where="p_size % 4 = 3"),
+])
 QUESTIONS = f"""SELECT concat('SELECT ?x WHERE {{ ?x a ex:part', cast(p_partkey as varchar(20)), ' }}') AS sparql FROM part
 UNION ALL SELECT concat('SELECT ?x WHERE {{ ?x a ex:Unknown', cast(r_regionkey as varchar(20)), ' ; ex:Nation1 ?y }}') AS sparql FROM region"""
 
@@ -55,9 +69,9 @@ def sql(spark: SparkSession, sf_dir: str, text: str, names=TABLES):
     return spark.sql(text.replace("{ ?x", "{{ ?x").replace(" }'", " }}'"), **frames)
 
 
-def graph(spark: SparkSession, sf_dir: str, keep: bool = False) -> KnowledgeGraph:
+def graph(spark: SparkSession, sf_dir: str, keep: bool = False, text: str = TRIPLES) -> KnowledgeGraph:
     """keep: for plans that read the triples many times, which are then computed once."""
-    t = sql(spark, sf_dir, TRIPLES)
+    t = sql(spark, sf_dir, text)
     prefixes = spark.createDataFrame([("tables", 0, "ex", BASE)], "graph_id string, seq int, prefix string, ns string")
     graphs = spark.createDataFrame([("tables",)], "graph_id string")
     return KnowledgeGraph(t, prefixes, None, None, graphs, keep)
