@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from quillon.llm.common import table
+from quillon.llm.common import shared_folder, table
 from quillon.llm.queries import toxicity_model, word_bpe
 
 
@@ -52,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4()}/{name}.parquet"
