@@ -65,7 +65,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     keys = docs.select("doc_id", suffix_dedup.text_key(F.col("text")).alias("k"))
-    return keys.join(suffix_dedup.remove_repeats(docs), "k").drop("k")
+    return keys.join(suffix_dedup.remove_repeats(docs), "k").drop("k").withColumn("changed", F.col("n_removed") > 0)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +85,16 @@ d AS (SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource'
   substr(u, 1, 8), '-', substr(u, 9, 4), '-', substr(u, 13, 4), '-', substr(u, 17, 4), '-', substr(u, 21, 12), '>', chr(13), chr(10),
   'WARC-Date: 2026-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10),
   'WARC-Payload-Digest: sha256:', sha256(html), chr(13), chr(10), 'Content-Length: ', CAST(strlen(html) AS VARCHAR), chr(13), chr(10), chr(13), chr(10),
-  html, chr(13), chr(10), chr(13), chr(10)) AS data FROM r)
-SELECT page_id, CAST(strlen(data) AS BIGINT) AS length, sha256(data) AS sha256, page_id % 97 = 5 AS corrupt FROM d
+  html, chr(13), chr(10), chr(13), chr(10)) AS data FROM r),
+d2 AS (SELECT page_id, data, sha256(data) AS hash, n FROM (SELECT d.page_id, d.data, strlen(r.html) AS n FROM d JOIN r ON d.page_id = r.page_id) x),
+b AS (SELECT page_id, sha256(CASE WHEN n % 997 = 5 THEN concat(substr(data, 1, 40), substr(data, 42)) ELSE data END) AS hash FROM d2 WHERE n % 991 <> 7)
+SELECT d2.page_id, CAST(strlen(d2.data) AS BIGINT) AS length, d2.hash AS sha256, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN b.hash <> d2.hash THEN 'changed' ELSE 'same' END AS status FROM d2 LEFT JOIN b ON b.page_id = d2.page_id
 """
 
 
 def fixity_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit without places in files, which SQL can state."""
-    return op5_merkle_fixity_audit(spark, sf_dir).select("page_id", "length", "sha256", "corrupt")
+    """The audit without places in files: SQL builds both replicas and compares their records."""
+    return op5_merkle_fixity_audit(spark, sf_dir).select("page_id", "length", "sha256", "status")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

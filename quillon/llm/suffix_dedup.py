@@ -8,11 +8,15 @@ positions are computed by prefix doubling; suffixes are sorted by bucket and fir
 ties are resolved by the cover ranks at the offset that the two positions' residues share. Neighbours
 in that order with a common prefix of `length` bytes mark each other.
 
-A bucket that more than `hot_texts` texts share (a licence, say) isn't gathered in a task: its strings are
-counted by 128-bit digests with map-side sums, and joined back to their places.
+A bucket of more than `hot` bytes (a licence that a third of all texts hold, say) is salted by places into
+sub-buckets of about that size, each suffix-sorted like any other; of each, one place of every distinct
+string goes on by its 128-bit hash, and strings that several sub-buckets hold are marked at these places.
 
 Texts that occur as whole copies are sorted once, as one text; they are removed entirely if they have
-`length` bytes. Keys are 128-bit digests of texts, so null or repeated doc_ids don't matter.
+`length` bytes. Keys are 128-bit digests of texts, so null or repeated doc_ids don't matter. Texts are read
+in windows of `WINDOW` bytes that overlap by length - 1, so memory is bounded for a text of any size
+but for a few copies of its bytes. A join on k with a text that a third of all rows hold is one that
+adaptive execution splits: the side of this operator has one row for each k.
 
 Defined cases: null text is empty (n_bytes 0, nothing removed); texts shorter than `length` keep all;
 repeated rows count as copies; an empty table gives no rows; only doc_id and text are read.
@@ -28,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import cut, gives_back, mix64, slices, small_batches
 
+STRINGS = pa.list_(pa.struct([("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())]))
 GRAM = 32
+WINDOW = 1 << 18
 V, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
 IN_COVER = np.full(V, -1, np.int64)
 IN_COVER[list(COVER)] = np.arange(len(COVER))
@@ -58,41 +64,49 @@ def grams_and_minima(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def runs(texts: list[bytes], length: int, block: int = 1 << 16) -> Iterator[tuple]:
-    """Maximal runs of starts with one minimum: (document, first, last, minimum, repeats within) as arrays."""
-    group, size = [], 0
+    """Maximal runs of starts with one minimum: (document, first, last, minimum, repeats within) as arrays; a window's end ends a run."""
+    group, begins, held, size = [], [], [], 0
     for i, t in enumerate(texts):
-        if len(t) >= length:
-            group.append(i)
-            size += len(t)
-        if group and (size >= block or i == len(texts) - 1):
-            buf = np.frombuffer(b"".join([texts[k] for k in group]), np.uint8)
-            h, m = grams_and_minima(buf, length)
-            sizes = np.array([len(texts[k]) for k in group])
-            begin = np.cumsum(sizes) - sizes
-            at = np.concatenate([np.arange(b, b + n - length + 1) for b, n in zip(begin, sizes)])
-            doc = np.repeat(np.arange(len(group)), sizes - length + 1)
-            v = m[at]
-            new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])])
-            last = np.r_[new[1:], len(at)] - 1
-            own = np.r_[0, np.cumsum(h[at] == v)]
-            yield np.array(group)[doc[new]], at[new] - begin[doc[new]], at[last] - begin[doc[new]], v[new], own[last] > own[new]
-            group, size = [], 0
+        for at in range(0, len(t) - length + 1, WINDOW):
+            group.append(i), begins.append(at), held.append(t[at : at + WINDOW + length - 1])
+            size += len(held[-1])
+            if size >= block:
+                yield _runs(np.array(group), np.array(begins), held, length)
+                group, begins, held, size = [], [], [], 0
+    if group:
+        yield _runs(np.array(group), np.array(begins), held, length)
+
+
+def _runs(group: np.ndarray, begins: np.ndarray, held: list[bytes], length: int) -> tuple:
+    h, m = grams_and_minima(np.frombuffer(b"".join(held), np.uint8), length)
+    sizes = np.array([len(t) for t in held])
+    begin = np.cumsum(sizes) - sizes
+    at = np.concatenate([np.arange(b, b + n - length + 1) for b, n in zip(begin, sizes)])
+    doc = np.repeat(np.arange(len(group)), sizes - length + 1)
+    v = m[at]
+    new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])])
+    last = np.r_[new[1:], len(at)] - 1
+    own = np.r_[0, np.cumsum(h[at] == v)]
+    shift = (begins - begin)[doc[new]]
+    return group[doc[new]], at[new] + shift, at[last] + shift, v[new], own[last] > own[new]
 
 
 def anchors(keyed: DataFrame, length: int) -> DataFrame:
-    """(h, k, own): each document's minima once; own: it may hold a repeat within the document."""
+    """(h, k, own, size): each document's minima once; own: it may hold a repeat within the document; size: bytes of its runs."""
 
     def find(batches):
         for b in slices(batches):
-            keys = b.column(0)
-            for doc, _, _, v, own in runs([(t or "").encode() for t in b.column(1).to_pylist()], length):
-                order = np.lexsort((v, doc))
-                d, x, o = doc[order], v[order], own[order]
-                new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])])
-                several = np.diff(np.r_[new, len(d)]) > 1
-                yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)), keys.take(pa.array(d[new])), pa.array(np.logical_or.reduceat(o, new) | several)], names=["h", "k", "own"])
+            keys, found = b.column(0), list(runs(b.column(1).to_pylist(), length))
+            if not found:
+                continue
+            doc, first, last, v, own = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((v, doc))
+            d, x, o, n = doc[order], v[order], own[order], (last - first + length)[order]
+            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] != x[:-1])])
+            several = np.diff(np.r_[new, len(d)]) > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)), keys.take(pa.array(d[new])), pa.array(np.logical_or.reduceat(o, new) | several), pa.array(np.add.reduceat(n, new))], names=["h", "k", "own", "size"])
 
-    return keyed.mapInArrow(find, "h long, k binary, own boolean")
+    return keyed.mapInArrow(gives_back(find), "h long, k binary, own boolean, size long")
 
 
 def dense(key: np.ndarray) -> np.ndarray:
@@ -170,106 +184,138 @@ def repeated(buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: int) -
 
 
 def segments(texts: DataFrame, length: int) -> DataFrame:
-    """(h, k, first, seg): runs whose minimum is among the text's shared ones, with the bytes of all their strings."""
+    """(g, k, first, seg, hot): runs whose minimum is among the text's shared ones, with the bytes of all their strings.
+
+    texts(k, t, shared, salts): minima and into how many sub-buckets g each one's bucket is salted."""
 
     def cut_out(batches):
         for b in slices(batches):
-            keys, data = b.column(0), [(t or "").encode() for t in b.column(1).to_pylist()]
-            shared = [np.sort(np.array(x, np.int64).view(np.uint64)) for x in b.column(2).to_pylist()]
+            keys, data = b.column(0), b.column(1).to_pylist()
+            salt = np.array([int.from_bytes(k[:7], "little") for k in keys.to_pylist()], np.int64)
+            shared, salts = [], []
+            for x, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                own = np.array(x, np.int64).view(np.uint64)
+                order = np.argsort(own)
+                shared.append(own[order]), salts.append(np.array(n, np.int64)[order])
             for doc, first, last, v, _ in runs(data, length):
-                keep = np.zeros(len(doc), bool)
+                keep, n = np.zeros(len(doc), bool), np.ones(len(doc), np.int64)
                 edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
                 for s, e in zip(edges[:-1], edges[1:]):
                     own = shared[doc[s]]
-                    keep[s:e] = own[np.minimum(np.searchsorted(own, v[s:e]), len(own) - 1)] == v[s:e]
-                doc, first, last, v = doc[keep], first[keep], last[keep], v[keep]
-                for s in range(0, len(doc), 8192):
-                    z = slice(s, s + 8192)
+                    at = np.minimum(np.searchsorted(own, v[s:e]), len(own) - 1)
+                    keep[s:e], n[s:e] = own[at] == v[s:e], salts[doc[s]][at]
+                doc, first, last, v, n = doc[keep], first[keep], last[keep], v[keep], n[keep]
+                part = (mix64((salt[doc] ^ first >> 16).view(np.uint64)) % n.astype(np.uint64)).astype(np.uint64)
+                g = np.where(n > 1, mix64(v ^ mix64(part + np.uint64(1))), v)
+                for s in range(0, len(doc), 2048):
+                    z = slice(s, s + 2048)
                     segs = [data[d][x : y + length] for d, x, y in zip(doc[z], first[z], last[z])]
-                    yield pa.RecordBatch.from_arrays([pa.array(v[z].view(np.int64)), keys.take(pa.array(doc[z])), pa.array(first[z]), pa.array(segs, pa.binary())], names=["h", "k", "first", "seg"])
-
-    return texts.select("k", "t", "shared", "n").mapInArrow(cut_out, "h long, k binary, first long, seg binary")
+                    yield pa.RecordBatch.from_arrays([pa.array(g[z].view(np.int64)), keys.take(pa.array(doc[z])), pa.array(first[z]), pa.array(segs, pa.binary()), pa.array(n[z] > 1)], names=["g", "k", "first", "seg", "hot"])
 
+    # n comes along, so that all readers of the texts share one exchange
+    return texts.select("k", "t", "shared", "salts", "n").mapInArrow(gives_back(cut_out), "g long, k binary, first long, seg binary, hot boolean")
 
-def hot_windows(texts: DataFrame, length: int) -> DataFrame:
-    """(w, k, start, stop): each string whose minimum is hot, by a 128-bit digest, for counts without a bucket."""
 
-    def cut_out(batches):
-        for b in slices(batches):
-            keys, data = b.column(0), [(t or "").encode() for t in b.column(1).to_pylist()]
-            hot = [set(np.array(x, np.int64).view(np.uint64).tolist()) for x in b.column(2).to_pylist()]
-            for doc, first, last, v, _ in runs(data, length):
-                for d, x, y in [(d, x, y) for d, x, y, m in zip(doc.tolist(), first.tolist(), last.tolist(), v.tolist()) if m in hot[d]]:
-                    at = np.arange(x, y + 1)
-                    digests = [hashlib.blake2b(data[d][i : i + length], digest_size=16).digest() for i in range(x, y + 1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([keys[d].as_py()] * len(at), pa.binary()), pa.array(at), pa.array(at + length)], names=["w", "k", "start", "stop"])
+def string_hashes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """128-bit hashes of the strings of `length` bytes at the starts, from those of the 32-byte grams that tile them."""
+    h, s = BYTE[buf], 1
+    while s < GRAM:
+        h = h[:-s] * np.uint64(pow(R, s, 1 << 64)) + h[s:]
+        s *= 2
+    a = b = np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        x = h[at + k]
+        a, b = mix64(a ^ mix64(x)), mix64(b * np.uint64(R) + mix64(x + np.uint64(R)))
+    return np.stack([a, b], 1)
 
-    return texts.select("k", "t", "hot", "n").mapInArrow(cut_out, "w binary, k binary, start long, stop long")
 
+def repeats(segs: DataFrame, length: int, block: int = 1 << 20, merge: bool = False) -> DataFrame:
+    """(k, start, stop, w): bytes covered by strings that repeat in a bucket, w null; whole buckets at a time, in blocks of some MB.
 
-def repeats(segs: DataFrame, length: int, block: int = 1 << 20) -> DataFrame:
-    """(k, start, stop): bytes covered by repeated strings; whole buckets at a time, in blocks of some MB."""
+    merge: also w, of each distinct string of a sub-bucket one place from start on and the halves of its hash."""
 
-    def solve(h: np.ndarray, keys: list, first: np.ndarray, segs: list[bytes]) -> pa.RecordBatch:
+    def solve(g: np.ndarray, keys: list, first: np.ndarray, segs: list[bytes], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(s) for s in segs])
         begin = np.cumsum(sizes) - sizes
         n = sizes - length + 1
         row = np.repeat(np.arange(len(segs)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[row]
-        hit = repeated(np.frombuffer(b"".join(segs), np.uint8), at, h[row], length)
+        buf = np.frombuffer(b"".join(segs), np.uint8)
+        hit = repeated(buf, at, g[row], length)
         r, p = row[hit], at[hit]
         new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)][: len(r)]
         stop = np.r_[new[1:], True][: len(r)]
         start = first[r[new]] + p[new] - begin[r[new]]
-        return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in r[new]], pa.binary()), pa.array(start), pa.array(start + p[stop] - p[new] + length)], names=["k", "start", "stop"])
+        none = pa.nulls(len(start), STRINGS)
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in r[new]], pa.binary()), pa.array(start), pa.array(start + p[stop] - p[new] + length), none], names=["k", "start", "stop", "w"])
+        if merge:
+            row, at = row[hot[row]], at[hot[row]]
+            for s in range(0, len(at), 1 << 18):
+                part, of = at[s : s + (1 << 18)], row[s : s + (1 << 18)]
+                w = np.column_stack([string_hashes(buf, part, length), g[of].view(np.uint64)]).copy()
+                _, once = np.unique(w.view("V24").ravel(), return_index=True)
+                once.sort()
+                of = of[once]
+                head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                seg = of[head]
+                items = pa.StructArray.from_arrays([pa.array((part[once] - begin[of]).astype(np.int32)), *(pa.array(w[once, i].view(np.int64)) for i in (0, 1))], names=["at", "a", "b"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(of)].astype(np.int32)), items)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in seg], pa.binary()), pa.array(first[seg]), pa.array(first[seg]), lists], names=["k", "start", "stop", "w"])
 
     def blocks(batches):
         held, size = [], 0
         for b in batches:
-            for s in range(0, b.num_rows, 2048):
-                part = b.slice(s, 2048)
-                h = part.column(0).to_numpy()
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                g = part.column(0).to_numpy()
                 if size >= block:
                     # the last bucket may go on; what is before it is whole
-                    h0 = held[-1].column(0)[-1].as_py()
-                    same = int(np.searchsorted(h, h0, "right")) if h[0] == h0 else 0
-                    if same < len(h):
+                    g0 = held[-1].column(0)[-1].as_py()
+                    same = int(np.searchsorted(g, g0, "right")) if g[0] == g0 else 0
+                    if same < len(g):
                         held.append(part.slice(0, same))
-                        yield solved(held)
+                        yield from solved(held)
                         held, size, part = [], 0, part.slice(same)
                 held.append(part)
                 size += part.column(3).nbytes
         if held:
-            yield solved(held)
+            yield from solved(held)
 
     def solved(held):
         t = pa.Table.from_batches(held)
-        return solve(t.column(0).to_numpy(), t.column(1).to_pylist(), t.column(2).to_numpy(), t.column(3).to_pylist())
+        return solve(t.column(0).to_numpy(), t.column(1).to_pylist(), t.column(2).to_numpy(), t.column(3).to_pylist(), t.column(4).to_numpy(zero_copy_only=False))
 
-    return segs.repartition("h").sortWithinPartitions("h").mapInArrow(blocks, "k binary, start long, stop long")
+    return segs.repartition("g").sortWithinPartitions("g").mapInArrow(gives_back(blocks), "k binary, start long, stop long, w array<struct<at:int,a:bigint,b:bigint>>")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = False, hot_texts: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = False, hot: int = 2 << 20) -> DataFrame:
     """One row for each distinct text: (k, n_bytes, n_removed, n_spans, kept_sha256[, kept]).
 
     k is text_key(text); kept: the bytes that stay, as text (halves of letters that a cut leaves are left out)."""
-    keyed = docs.select(text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("t"))
-    texts = keyed.groupBy("k").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
-    found = anchors(keyed, length).persist()
-    shared = found.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).where("own or low <> high").select("h", (F.col("n") > hot_texts).alias("is_hot"))
-    of_text = found.join(shared, "h").groupBy("k").agg(F.collect_set(F.expr("if(is_hot, null, h)")).alias("shared"), F.collect_set(F.expr("if(is_hot, h, null)")).alias("hot"))
-    # all readers of texts take n along, so that they share one exchange of the texts
-    spans = repeats(segments(texts.join(of_text.where(F.size("shared") > 0), "k"), length), length)
-    windows = hot_windows(texts.join(of_text.where(F.size("hot") > 0), "k"), length)  # planned away where nothing is hot
-    several = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    spans = spans.unionByName(windows.join(several, "w", "left_semi").drop("w"))
+    small_batches(docs.sparkSession)
+    keyed = docs.select(text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    # as a join would ask for it: so the exchange of the texts is the same for all its readers
+    texts = keyed.where("k is not null").groupBy("k").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    found = cut(anchors(keyed, length))
+    h = found.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max("own").alias("own"), F.sum("size").alias("size"))
+    h = h.where("own or low <> high").select("h", F.ceil(F.col("size") / hot).alias("salts"))
+    of_text = found.select("h", "k").join(h, "h").groupBy("k").agg(F.collect_set(F.struct("h", "salts")).alias("s"))
+    of_text = cut(of_text.select("k", F.col("s.h").alias("shared"), F.col("s.salts").alias("salts")))
+    split = not of_text.where("exists(salts, n -> n > 1)").isEmpty()
+    spans = repeats(segments(texts.join(of_text, "k"), length), length, merge=split)
+    if split:
+        spans = cut(spans)
+        places = spans.where("w is not null").select("k", "start", F.explode("w").alias("w")).select("k", (F.col("start") + F.col("w.at")).alias("start"), "w.a", "w.b")
+        across = cut(places.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
+        side = F.broadcast(across) if across.count() * 48 <= 16 << 20 else across  # by its size; otherwise a shuffled join
+        marked = places.join(side, ["a", "b"], "left_semi").select("k", "start", (F.col("start") + length).alias("stop"))
+        spans = spans.where("w is null").drop("w").unionByName(marked)
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(batches):
         for b in slices(batches):
             n_bytes, removed, count, sha, kept = [], [], [], [], []
-            for t, n, found in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)]):
-                data = (t or "").encode()
+            for data, n, found in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)]):
                 merged: list[list[int]] = []
                 for x in [{"start": 0, "stop": len(data)}] if n > 1 and len(data) >= length else sorted(found or [], key=lambda x: x["start"]):
                     if merged and x["start"] <= merged[-1][1]:
@@ -285,4 +331,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, with_text: bool = Fals
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.string())] if with_text else []), names=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
 
     schema = "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return texts.join(spans, "k", "left").select("k", "t", "n", "spans").mapInArrow(finish, schema)
+    return texts.join(spans, "k", "left").select("k", "t", "n", "spans").mapInArrow(gives_back(finish), schema)
