@@ -185,6 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, groups=ID
 
     r = rows.repartition(1).mapInArrow(gives_back(run), "at binary, w binary, b double").first()
     w = np.zeros(SIZE)
+    if r is None:  # no labelled row has a document
+        return w, -30.0
     w[np.frombuffer(bytes(r.at), "<i4")] = np.frombuffer(bytes(r.w), "<f4")
     return w, r.b
 
