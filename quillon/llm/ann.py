@@ -2,8 +2,9 @@
 
 In a shard of largest norm M, vectors gain the component sqrt(M^2 - |x|^2) and queries a zero: then
 the nearest by Euclidean distance has the largest inner product, and the triangle inequality holds. A
-node keeps a vantage point and the median distance to it; a batch of queries descends together, near
-side first, and enters the far side where |d - median| * factor <= distance of the k-th best: factor
+node keeps a vantage point, and its points by distance from it in two halves, ties split by place, with the
+largest distance of the near half and the least of the far half; a batch of queries descends together, closer
+half first, and enters the other where its gap to d * factor <= distance of the k-th best: factor
 1 is exact search, larger factors prune more. Scores are inner products of the original vectors.
 
 Queries go to all shards in blocks (a stated query set against all rows); a shard and a block of
@@ -11,7 +12,8 @@ queries make one bounded task, and the k best of each shard merge by a window ov
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; a
 query with fewer candidates gets all; vectors of another width are no candidates; repeated rows
-other than the query's own vec_id are candidates each; ties go to the smaller vec_id: trees hold distinct vectors, each with
+other than the query's own vec_id are candidates each, and a repeated query row asks once; vectors so long that
+squares overflow are searched without a tree, infinite products tie, and products that are no number take no part; ties go to the smaller vec_id: trees hold distinct vectors, each with
 its smallest ids, and scores that rounding alone could part are computed alike before the k-th is cut.
 """
 
@@ -33,28 +35,43 @@ class VPTree:
         self.root = self.build(np.arange(len(x)))
 
     def build(self, at: np.ndarray):
+        """A leaf's places, or (vantage point, largest near distance, least far distance, near, far); halves, so the depth is log n."""
         if len(at) <= self.leaf:
             return at
         vp = at[self.rng.integers(len(at))]
         d = np.sqrt(np.maximum(((self.x[at] - self.x[vp]) ** 2).sum(1), 0))
-        mu = np.median(d)
-        near, far = at[d < mu], at[d >= mu]
-        if not len(near) or not len(far):
-            return at  # all at one distance: a leaf, whatever its size
-        return vp, mu, self.build(near), self.build(far)
+        half = len(at) // 2
+        order = np.argpartition(d, (half - 1, half))
+        near, far = order[:half], order[half:]
+        return vp, d[near].max(), d[far].min(), self.build(at[near]), self.build(at[far])
+
+
+def flat(x: np.ndarray, first: np.ndarray, second: np.ndarray, more: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As search, of all candidates, for products beyond the range of doubles."""
+    at, best = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(len(q)):
+            score = np.concatenate([rowwise_dot(q[i][None], x[s : s + 4096]) for s in range(0, len(x), 4096)])
+            mine = first == own[i]
+            use = np.flatnonzero(~np.isnan(score) & ~(mine & ~more))
+            order = use[np.lexsort((np.where(mine, second, first)[use], -score[use]))][:k]
+            at[i, : len(order)], best[i, : len(order)] = order, score[order]
+    return at, best
 
 
 def search(x: np.ndarray, first: np.ndarray, second: np.ndarray, more: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, factor: float, leaf: int = 96, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(positions in x or -1, inner products) of the k best for each query, by score and then smallest id other than its own.
 
     x are distinct vectors, first and (where more) second their smallest ids; those that have only the query's own don't count."""
-    norm = rowwise_dot(x, x)
+    with np.errstate(over="ignore"):
+        norm, qq = rowwise_dot(x, x), rowwise_dot(q, q)
     top = norm.max()
+    if max(top, qq.max()) > 1e300:
+        return flat(x, first, second, more, q, own, k)
     lifted = np.column_stack([x, np.sqrt(np.maximum(top - norm, 0))])
     tree = VPTree(lifted, leaf, seed)
-    qq = rowwise_dot(q, q)
     close = NEAR * np.sqrt(qq * top)
-    flat = np.column_stack([q, np.zeros(len(q))])
+    flat_q = np.column_stack([q, np.zeros(len(q))])
     best, at, low = np.full((len(q), k), -np.inf), np.full((len(q), k), -1), np.zeros((len(q), k), first.dtype)
 
     def meet(part: np.ndarray, who: np.ndarray) -> None:
@@ -86,15 +103,14 @@ def search(x: np.ndarray, first: np.ndarray, second: np.ndarray, more: np.ndarra
                 for r in range(0, len(who), 2048):
                     meet(node[s : s + 1024], who[r : r + 2048])
             return
-        vp, mu, near, far = node
-        d = np.sqrt(np.maximum(((flat[who] - lifted[vp]) ** 2).sum(1), 0))
-        inner = d < mu
+        vp, inside, outside, near, far = node
+        d = np.sqrt(np.maximum(((flat_q[who] - lifted[vp]) ** 2).sum(1), 0))
+        inner = d < (inside + outside) / 2
         visit(near, who[inner])
         visit(far, who[~inner])
         tau = np.sqrt(np.maximum(qq[who] + top - 2 * best[who, -1], 0) + 1e-12 * (qq[who] + top))  # of the k-th best so far; infinite before k
-        cross = np.abs(d - mu) * factor <= tau + 1e-9
-        visit(far, who[inner & cross])
-        visit(near, who[~inner & cross])
+        visit(far, who[inner & ((outside - d) * factor <= tau + 1e-9)])
+        visit(near, who[~inner & ((d - inside) * factor <= tau + 1e-9)])
 
     visit(tree.root, np.arange(len(q)))
     at[~np.isfinite(best)] = -1
@@ -123,14 +139,14 @@ def nearest(rows: DataFrame, is_query, *, k: int = 20, factor: float = 1.2, shar
     n = rows.count()
     shards, n_blocks = max(1, -(-n // shard)), max(1, -(-good.where(is_query).select("vec_id").count() // query_block))
     base = good.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asked = good.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    asked = good.where(is_query).dropDuplicates(["vec_id", "x"]).withColumn("q", F.xxhash64("x")).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
         x, q = matrix(left.column("x").combine_chunks()), matrix(right.column("x").combine_chunks())
-        ids, own = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        ids, own, code = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy(), right.column("q").to_numpy()
         x, ids, begin, end = distinct(x, ids, k)
         first = ids[begin]
         last = ids[end - 1]  # of the 2k smallest; more than one id if it differs
@@ -146,8 +162,8 @@ def nearest(rows: DataFrame, is_query, *, k: int = 20, factor: float = 1.2, shar
         i, v, score = i[order], v[order], score[order]
         first = np.searchsorted(i, np.arange(len(q)))
         keep = np.arange(len(i)) - first[i] < k
-        return pa.table({"query_id": own[i[keep]], "vec_id": ids[v[keep]], "score": score[keep]})
+        return pa.table({"query_id": own[i[keep]], "q": code[i[keep]], "vec_id": ids[v[keep]], "score": score[keep]})
 
-    parts = base.groupBy("shard", "block", "w").cogroup(asked.groupBy("shard", "block", "w")).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    parts = base.groupBy("shard", "block", "w").cogroup(asked.groupBy("shard", "block", "w")).applyInArrow(run, "query_id long, q long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
