@@ -2,8 +2,8 @@
 
 Everything runs as DataFrame expressions. Per source a target in words is found by water filling.
 Highest quotients (weight / 1, 3, 5, ...) allocate the blocks to sources, then each source's blocks
-to its shards. A shard's documents, in seeded order, form one stream of words that is cut into
-blocks; a shard takes whole passes over its stream and then the blocks with the smallest seeded
+to groups of 4096 shards and a group's to its shards, so windows hardly grow with a source's rows. A
+shard's documents, in seeded order, form one stream of words that is cut into blocks; a shard takes whole passes over its stream and then the blocks with the smallest seeded
 hashes. Shards are sized by words and by rows, so a source of any size splits into bounded windows.
 
 Defined cases: null text has size 0 and nothing taken; null source is a source of its own, last in
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,17 +71,23 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, cap:
     skey = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
     cols = ["doc_id", "source", n_words(F.col("text")).alias("size"), skey.alias("skey"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")]
     base = docs.select(*cols)
-    narrow = base.persist()
+    narrow = cut(base)  # sizes are counted once
     sizes = narrow.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     src = source_targets(sizes, weights, share, float(cap))
     src = src.withColumn("_seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
     src = highest_quotients(src, [], ["skey"], "target", "_seats")
     src = src.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("n") / shard_rows), F.lit(1)))
-    src = src.select("skey", "source_size", "target", F.col("won").alias("blocks"), "shards").persist()
+    src = src.select("skey", "source_size", "target", F.col("won").alias("blocks"), "shards")
+    src = cut(src)
+    side = F.broadcast(src) if src.count() * 256 <= 16 << 20 else src  # by its size; otherwise a join that adaptive execution splits where one source is hot
     shard = F.pmod(F.col("h"), F.col("shards")).alias("shard")
-    at = narrow.join(src, "skey").select("skey", shard, "size", "blocks")
+    at = narrow.join(side, "skey").select("skey", shard, "size", "blocks")
     quota = at.groupBy("skey", "shard").agg(F.sum("size").alias("words"), F.max("blocks").alias("blocks"))
-    quota = highest_quotients(quota, ["skey"], ["shard"], "words", "blocks").where("words > 0")
+    quota = quota.withColumn("part", F.floor(F.col("shard") / 4096))
+    parts = quota.groupBy("skey", "part").agg(F.sum("words").alias("words"), F.max("blocks").alias("blocks"))
+    parts = highest_quotients(parts, ["skey"], ["part"], "words", "blocks").select("skey", "part", F.col("won").alias("blocks"))
+    quota = quota.drop("blocks").join(parts, ["skey", "part"])
+    quota = highest_quotients(quota, ["skey", "part"], ["shard"], "words", "blocks").where("words > 0")
     quota = quota.withColumn("nb", F.ceil(F.col("words") / block)).withColumn("k", F.least(F.col("won"), cap * F.col("nb")))
     quota = quota.withColumn("passes", F.floor(F.col("k") / F.col("nb"))).withColumn("extra", F.col("k") % F.col("nb"))
     draw = lambda b: F.xxhash64(F.lit(seed), "skey", "shard", b)
@@ -87,7 +95,7 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, cap:
     quota = quota.withColumn("limit", F.when(F.col("extra") > 0, F.element_at(ranked, F.col("extra").cast("int"))))
     quota = quota.select("skey", "shard", "passes", "limit")
     rows = docs.select(*cols, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if keep else narrow
-    rows = rows.join(src.select("skey", "source_size", "target", "shards"), "skey").withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
+    rows = rows.join(side.select("skey", "source_size", "target", "shards"), "skey").withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
     stream = Window.partitionBy("skey", "shard").orderBy("h", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     rows = rows.join(quota, ["skey", "shard"], "left")
