@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import terms as T
@@ -361,3 +361,29 @@ def question_phrases_ascii(spark, d):
     """Phrases of all questions with letters beyond ASCII taken out, where word boundaries mean the same in both engines."""
     x = _turns(spark, d).withColumn("question", F.regexp_replace("question", r"[^\x00-\x7F]", " "))
     return x.select("idx", F.array_join(X.phrases(F.col("question")), "|").alias("phrases"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with the place of each row in its own order."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
+@query(f"SELECT s, CAST(row_number() OVER (ORDER BY CASE WHEN s_kind = 'bnode' THEN 0 ELSE 1 END, s) AS INTEGER) AS place FROM (SELECT DISTINCT s, s_kind FROM t WHERE p = '{T.TYPE}' AND o IN ('{T.OWL}Class', '{T.RDFS}Class') AND s NOT IN (SELECT o FROM t WHERE p = '{T.SUBCLASS}')) x", (), tables.RICH)
+def leaf_order(spark, d):
+    """The order in which leaves are listed: blank nodes, then IRIs."""
+    return _numbered(metrics.leaf_nodes(tables.graph(spark, d, text=tables.RICH)).details["leaves"].select("s"))
+
+
+CHAIN = "CASE WHEN starts_with(s, 'https://www.commoncoreontologies.org/') THEN concat('cco:', substr(s, 38)) WHEN starts_with(s, 'http://purl.obolibrary.org/obo/') THEN concat('obo:', substr(s, 32)) WHEN starts_with(s, '" + T.SKOS + "') THEN concat('skos:', substr(s, " + str(len(T.SKOS) + 1) + ")) ELSE " + QNAME + " END"
+
+
+@query(f"SELECT qname, CAST(row_number() OVER (ORDER BY connected DESC, qname) AS INTEGER) AS place FROM (SELECT {CHAIN} AS qname, {GROUNDED} AS connected FROM roots) x", (NAMED, ROOTS), tables.RICH)
+def chain_order(spark, d):
+    """Prefixed names of roots: connected chains first, by name."""
+    return _numbered(metrics.semantic_connection(tables.graph(spark, d, text=tables.RICH), tree=False).details["chains"].select("qname"))
+
+
+@query("SELECT node, level, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place FROM walk", (NAMED, ROOTS, f"walk AS (SELECT s AS node, 0 AS level, [{QNAME}] AS path FROM roots UNION\n SELECT c.s, w.level + 1, list_append(w.path, {QNAME.replace('(s', '(c.s').replace(' s,', ' c.s,')}) FROM walk w JOIN (SELECT s, o FROM t WHERE p = '{T.SUBCLASS}' AND s_kind = 'iri') c ON c.o = w.node)"))
+def tree_order(spark, d):
+    """The lines of the hierarchy's walk from each root, children by name."""
+    return _numbered(metrics.semantic_connection(tables.graph(spark, d, keep=True)).details["tree"].select("node", "level"))
