@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Documents are tokenised in Arrow batches and cut into pieces of at most `capacity` ids. Pieces are
-hashed to shards of a bounded number of documents. A shard's bin-packing problem is a histogram of
+Documents are tokenised in Arrow batches and cut into pieces of at most `capacity` ids. Pieces get
+a salt and are written to the shared folder, so that a lost task can't salt them anew; by salts they go
+to shards of a bounded number of documents, also where a third of all rows are one text. A shard's bin-packing problem is a histogram of
 lengths; `islands` rows for each shard evolve populations apart from one another, in tasks of their
 own, and between epochs each island's elite moves to the next island by a shuffle. A crossover
 injects whole well-filled bins of one parent into the other, removes the bins that hold the same
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import cut, gives_back, mix64, partitions, slices, small_batches
 
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _loaded: dict = {}
@@ -123,10 +124,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, keep_ids: bool = Fa
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
+        row = 0
+        for batch in slices(batches, 256):
             ids, texts = batch.column(0), batch.column(1)
             at, n, start, length, crc, data = [], [], [], [], [], []
-            for i, b in enumerate(b for k in range(0, batch.num_rows, 256) for b in tok.encode_batch([t or "" for t in texts.slice(k, 256).to_pylist()])):
+            for i, b in enumerate(tok.encode_batch([t or "" for t in texts.to_pylist()])):
                 b += b"\0\0\0\0"
                 for k in range(0, len(b), 4 * capacity):
                     part = b[k : k + 4 * capacity]
@@ -134,12 +136,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, keep_ids: bool = Fa
                     if keep_ids:
                         data.append(part)
             c = np.array(crc, np.uint64)
-            salt = mix64(c ^ mix64(np.array(at, np.uint64) << np.uint64(16) ^ np.array(n, np.uint64))) >> np.uint64(1)
+            salt = mix64(c ^ mix64(np.array(at, np.uint64) + np.uint64(row) << np.uint64(24) ^ np.array(n, np.uint64))) >> np.uint64(1)
+            row += batch.num_rows
             cols = [ids.take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(data, pa.binary())] if keep_ids else []), names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"] + ["ids"] * keep_ids)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
+    return docs.select("doc_id", "text").mapInArrow(gives_back(cut_up), schema)
 
 
 class Bins:
@@ -235,8 +238,9 @@ def _load(data: bytes) -> list[list[int]]:
 
 def pack(docs: DataFrame, path: str, *, capacity: int = 2048, shard_docs: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 12, seed: int = 7, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids])."""
+    small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // shard_docs))
-    cut_up = pieces(docs, path, capacity, keep_ids).withColumn("shard", F.pmod("salt", F.lit(shards))).repartition("shard").persist()
+    cut_up = cut(pieces(docs, path, capacity, keep_ids).withColumn("shard", F.pmod("salt", F.lit(shards))))
     counts = cut_up.where(F.col("length") < capacity).groupBy("shard", "length").count()
     problems = counts.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", "count"))).alias("h"))  # at most `capacity` entries
     state = problems.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("h.length").alias("lengths"), F.col("h.count").alias("counts"), F.lit(None).cast("array<binary>").alias("population"), F.lit(None).cast("binary").alias("guest"))
@@ -260,9 +264,9 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, shard_docs: int =
         return run
 
     for k in range(epochs):
-        evolved = state.repartition("shard", "island").mapInPandas(epoch(k), schema)
+        evolved = state.repartition(partitions(docs.sparkSession), "shard", "island").mapInPandas(epoch(k), schema)  # by number, as rows are small and work is long
         if k + 1 < epochs:
-            evolved = evolved.persist()
+            evolved = cut(evolved)
             guests = evolved.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("guest"))
             state = evolved.drop("elite", "n_bins").join(guests, ["shard", "island"])
     best = evolved.groupBy("shard").agg(F.min(F.struct("n_bins", "island", "elite")).alias("b")).select("shard", F.col("b.elite").alias("elite"))
