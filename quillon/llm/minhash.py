@@ -1,26 +1,31 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF word shingles.
 
-1. A task hashes its documents' shingles of five words, 1,024 documents (a slice) at a time, and
-   sends them sorted, as 54 bits of hash with 10 bits of document, in blobs by range of hash.
+1. A task hashes its documents' shingles of five words, up to 1,024 documents (a slice) at a time, and
+   sends them sorted, as 54 bits of hash with 10 bits of document, in blobs by range of hash. A shingle of
+   64 or more of a slice's documents goes to its range once, with their number; so one that a third of all
+   documents share costs its range 16 bytes for each slice.
 2. Per range, document frequencies over all documents follow from one sort. Shingles of one document
    alone go no further: for a weighted Jaccard similarity s, shared shingles must hold the share s
    of a document's whole weight. The rest returns to its slice.
-3. Per slice, documents that can reach the threshold get weights tf * idf and band keys from
+3. Per slice, documents that can reach the threshold get weights tf * idf (a shingle of one document
+   counts as one of two, so that in a pair an edit weighs what it replaces) and band keys from
    consistent weighted samples (ICWS: a hash draws r, c and beta for each shingle and function).
 4. Bands link documents to the smallest key of their bucket; connected components of these links are
    the candidate groups. Each group is verified with weighted Jaccard similarities of the original
    vectors: every pair of it that isn't yet joined, in blocks of bounded size, so a group of any
    size loses no link between its members.
 
-Texts are known by 128-bit digests: whole copies are one text, and doc_ids may repeat or be null. The
-input must give the same rows in the same order when a task is run again, as files do.
+Texts are known by 128-bit digests: whole copies are one text, and doc_ids may repeat or be null. Slices
+are numbered by place, so an input that isn't read from files alone is first written to the shared folder:
+a task that runs again reads the same rows. Texts of more than a million bytes are read in pieces.
 
-Defined cases: null, empty and blank texts have no shingles and are alone in their class; texts of
+Defined cases: a stretch of half a million bytes without white space is cut into words; null, empty and blank texts have no shingles and are alone in their class; texts of
 one to four words are one shingle; repeated rows are copies; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix64, partitions
+from .common import components, cut, gives_back, mix64, partitions, pieces, small_batches
 from .suffix_dedup import BYTE, R, text_key
 
 SLICE_BITS = 10
 SLICE = 1 << SLICE_BITS
+SLICE_BYTES = 1 << 23
 LOW = np.uint64(SLICE - 1)
 _powers: dict = {}
 
@@ -80,43 +86,76 @@ def shingle_hashes(texts: list[bytes], n: int = 5) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def hashed(docs: DataFrame, ranges: int, n: int) -> DataFrame:
-    """Blobs by range of hash: (r, base, keys, more, k, total). keys: hash and document of the slice;
-    more: (place in keys, tf) where tf > 1; on one row of each slice k and total hold its documents."""
+def read_again(docs: DataFrame) -> DataFrame:
+    """docs, as files give the same rows in the same order again; what comes from a shuffle is written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    return cut(docs) if re.search("Aggregate|Join|Repartition|Rebalance|Window|Sort|Limit|Distinct|Sample|LogicalRDD", plan) else docs
+
+
+def slice_shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (hash and document) of the texts' shingles, and how often each occurs."""
+    found, held, docs, size = [np.zeros(0, np.uint64)], [], [], 0
+    for i, t in enumerate(texts):
+        for _, piece in pieces(t, 1 << 20, n - 1):
+            held.append(piece), docs.append(i)
+            size += len(piece)
+            if size >= 1 << 20:
+                d, h = shingle_hashes(held, n)
+                found.append((h & ~LOW) | np.array(docs, np.uint64)[d])
+                held, docs, size = [], [], 0
+    if held:
+        d, h = shingle_hashes(held, n)
+        found.append((h & ~LOW) | np.array(docs, np.uint64)[d])
+    x = np.sort(np.concatenate(found))
+    new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[: len(x)]
+    return x[new], np.diff(np.r_[new, len(x)])
+
+
+def hashed(docs: DataFrame, ranges: int, n: int, frequent: int) -> DataFrame:
+    """Blobs by range of hash: (r, base, keys, more, many, k, total, held, held_tf). keys: hash and document of the slice; more:
+    (place in keys, tf) where tf > 1; many: (place, documents) of frequent shingles; one row of each slice has its
+    documents' k and total and, held, the keys of its frequent shingles with their tf."""
     bits = ranges.bit_length() - 1
 
+    def blobs(base: int, keys: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+        x, tf = slice_shingles(texts, n)
+        total = np.bincount((x & LOW).astype(np.int64), weights=tf, minlength=len(texts))
+        h = x & ~LOW
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[: len(h)]
+        count = np.diff(np.r_[new, len(h)])
+        often = np.repeat(count >= frequent, count)
+        held, held_tf = x[often], tf[often]
+        x, tf, docs = np.r_[x[~often], h[new[count >= frequent]]], np.r_[tf[~often], np.ones((count >= frequent).sum(), np.int64)], np.r_[np.ones((~often).sum(), np.int64), count[count >= frequent]]
+        order = np.argsort(x, kind="stable")
+        x, tf, docs = x[order], tf[order], docs[order]
+        edges = np.searchsorted(x, np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(x)]
+        out = [[] for _ in range(9)]
+        pack = lambda v, z: np.stack([m := np.flatnonzero(v[z] > 1), v[z][m]]).astype("<u4").tobytes()
+        for r in range(ranges):
+            z = slice(edges[r], edges[r + 1])
+            own = r == (base // SLICE) % ranges
+            if edges[r] == edges[r + 1] and not own:
+                continue
+            mine = (b"".join(keys), total.tobytes(), held.tobytes(), held_tf.astype("<u4").tobytes()) if own else (None,) * 4
+            for c, v in zip(out, (r, base, x[z].tobytes(), pack(tf, z), pack(docs, z), *mine)):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=["r", "base", "keys", "more", "many", "k", "total", "held", "held_tf"])
+
     def run(batches):
-        base = TaskContext.get().partitionId() << 36
+        base, keys, texts, size = TaskContext.get().partitionId() << 36, [], [], 0
         for b in batches:
-            for s in range(0, b.num_rows, SLICE):
-                part = b.slice(s, SLICE)
-                texts = [(t or "").lower().encode() for t in part.column(1).to_pylist()]
-                found, at, size = [], 0, 0
-                for i, t in enumerate(texts):
-                    size += len(t)
-                    if size >= 1 << 20 or i == len(texts) - 1:
-                        d, h = shingle_hashes(texts[at : i + 1], n)
-                        found.append((h & ~LOW) | (d + at).astype(np.uint64))
-                        at, size = i + 1, 0
-                x = np.sort(np.concatenate(found))
-                new = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[: len(x)]
-                tf = np.diff(np.r_[new, len(x)])
-                x = x[new]
-                total = np.bincount((x & LOW).astype(np.int64), weights=tf, minlength=len(texts))
-                edges = np.searchsorted(x, np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(x)]
-                out = [[], [], [], [], [], []]
-                for r in range(ranges):
-                    z = slice(edges[r], edges[r + 1])
-                    own = r == (base // SLICE) % ranges
-                    if edges[r] == edges[r + 1] and not own:
-                        continue
-                    m = np.flatnonzero(tf[z] > 1)
-                    for c, v in zip(out, (r, base, x[z].tobytes(), np.stack([m, tf[z][m]]).astype("<u4").tobytes(), b"".join(part.column(0).to_pylist()) if own else None, total.tobytes() if own else None)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=["r", "base", "keys", "more", "k", "total"])
-                base += SLICE
-
-    return docs.mapInArrow(run, "r int, base long, keys binary, more binary, k binary, total binary")
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    keys.append(k), texts.append((t or "").lower().encode("utf-8", "surrogatepass"))
+                    size += len(texts[-1])
+                    if len(keys) == SLICE or size >= SLICE_BYTES:
+                        yield blobs(base, keys, texts)
+                        base, keys, texts, size = base + SLICE, [], [], 0
+        if keys:
+            yield blobs(base, keys, texts)
+
+    return docs.mapInArrow(gives_back(run), "r int, base long, keys binary, more binary, many binary, k binary, total binary, held binary, held_tf binary")
 
 
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -136,36 +175,38 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def shared(blobs: DataFrame, ranges: int) -> DataFrame:
-    """Per range and slice the shingles of several documents: (base, keys, df, tf), and the slices' k and total."""
+    """Per range and slice the shingles of several documents: (base, keys, df, tf, often), and the slices' own columns."""
 
     def run(batches):
         for t in by_group(batches):
-            base, keys, more = t.column(1).to_numpy(), t.column(2).to_pylist(), t.column(3).to_pylist()
+            base, keys = t.column(1).to_numpy(), t.column(2).to_pylist()
             x = np.concatenate([np.frombuffer(k, np.uint64) for k in keys])
             size = np.array([len(k) // 8 for k in keys])
-            tf = np.ones(len(x), np.uint32)
-            for at, m in zip(np.cumsum(size) - size, more):
-                place, times = np.frombuffer(m, "<u4").reshape(2, -1)
-                tf[at + place] = times
+            tf, docs = np.ones(len(x), np.uint32), np.ones(len(x), np.uint32)
+            for values, column in ((tf, 3), (docs, 4)):
+                for at, m in zip(np.cumsum(size) - size, t.column(column).to_pylist()):
+                    place, times = np.frombuffer(m, "<u4").reshape(2, -1)
+                    values[at + place] = times
             h = x & ~LOW
             order = np.argsort(h)
             s = h[order]
             new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])[: len(s)]
             df = np.empty(len(x), np.uint32)
-            df[order] = np.repeat(np.diff(np.r_[new, len(s)]), np.diff(np.r_[new, len(s)]))
+            if len(x):
+                df[order] = np.repeat(np.add.reduceat(docs[order].astype(np.int64), new).astype(np.uint32), np.diff(np.r_[new, len(s)]))
             out, at = [], 0
             for i, n in enumerate(size):
                 z = slice(at, at + n)
                 keep = df[z] > 1
                 at += n
-                k, total = t.column(4)[i].as_py(), t.column(5)[i].as_py()
-                if keep.any() or k is not None:
-                    out.append((int(base[i]), x[z][keep].tobytes(), df[z][keep].tobytes(), tf[z][keep].tobytes(), k, total))
+                own = [t.column(c)[i].as_py() for c in (5, 6, 7, 8)]
+                if keep.any() or own[0] is not None:
+                    out.append((int(base[i]), x[z][keep].tobytes(), df[z][keep].tobytes(), tf[z][keep].tobytes(), (docs[z][keep] > 1).tobytes(), *own))
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["base", "keys", "df", "tf", "k", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["base", "keys", "df", "tf", "often", "k", "total", "held", "held_tf"])
 
-    return blobs.repartition(max(2, ranges // 2), "r").sortWithinPartitions("r").mapInArrow(run, "base long, keys binary, df binary, tf binary, k binary, total binary")
+    return blobs.repartition(max(2, ranges // 2), "r").sortWithinPartitions("r").mapInArrow(gives_back(run), "base long, keys binary, df binary, tf binary, often binary, k binary, total binary, held binary, held_tf binary")
 
 
 def icws(h: np.ndarray, w: np.ndarray, starts: np.ndarray, functions: int, seed: int) -> np.ndarray:
@@ -193,14 +234,18 @@ def icws(h: np.ndarray, w: np.ndarray, starts: np.ndarray, functions: int, seed:
 
 def vectors(parts: DataFrame, n_docs: int, threshold: float, bands: int, rows: int, seed: int) -> DataFrame:
     """(k, total, hashes, weights, keys): documents whose shared shingles may reach the threshold, with band keys."""
-    idf = lambda df: np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+    idf = lambda df: np.log((1.0 + n_docs) / (1.0 + np.maximum(df, 2))) + 1.0
 
     def run(batches):
         for t in by_group(batches):
             col = lambda i, kind: np.concatenate([np.frombuffer(v, kind) for v in t.column(i).to_pylist()])
-            x, df, tf = col(1, np.uint64), col(2, np.uint32), col(3, np.uint32)
-            own = next(i for i in range(t.num_rows) if t.column(4)[i].as_py() is not None)
-            k, total = t.column(4)[own].as_py(), np.frombuffer(t.column(5)[own].as_py(), np.float64)
+            x, df, tf, often = col(1, np.uint64), col(2, np.uint32), col(3, np.uint32), col(4, np.bool_)
+            own = next(i for i in range(t.num_rows) if t.column(5)[i].as_py() is not None)
+            k, total = t.column(5)[own].as_py(), np.frombuffer(t.column(6)[own].as_py(), np.float64)
+            held, held_tf = np.frombuffer(t.column(7)[own].as_py(), np.uint64), np.frombuffer(t.column(8)[own].as_py(), "<u4")
+            frequent, order = x[often], np.argsort(x[often])
+            held_df = df[often][order][np.searchsorted(frequent[order], held & ~LOW)] if len(held) else np.zeros(0, np.uint32)
+            x, df, tf = np.r_[x[~often], held], np.r_[df[~often], held_df], np.r_[tf[~often], held_tf]
             w = (tf * idf(df)).astype(np.float32)
             d = (x & LOW).astype(np.int64)
             some, times = np.bincount(d, weights=w, minlength=len(total)), np.bincount(d, weights=tf, minlength=len(total))
@@ -227,7 +272,7 @@ def vectors(parts: DataFrame, n_docs: int, threshold: float, bands: int, rows: i
                 cols = [pa.array([k[16 * doc[i] : 16 * doc[i] + 16] for i in z], pa.binary()), pa.array([weight[doc[i]] for i in z], pa.float64()), pa.array([x[starts[i] : ends[i]].tobytes() for i in z], pa.binary()), pa.array([w[starts[i] : ends[i]].tobytes() for i in z], pa.binary()), pa.array([keys[i].view(np.int64) for i in z], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["k", "total", "hashes", "weights", "keys"])
 
-    return parts.repartition("base").sortWithinPartitions("base").mapInArrow(run, "k binary, total double, hashes binary, weights binary, keys array<long>")
+    return parts.repartition("base").sortWithinPartitions("base").mapInArrow(gives_back(run), "k binary, total double, hashes binary, weights binary, keys array<long>")
 
 
 def linked(hashes: list[np.ndarray], weights: list[np.ndarray], totals: np.ndarray, threshold: float) -> np.ndarray:
@@ -261,14 +306,15 @@ def linked(hashes: list[np.ndarray], weights: list[np.ndarray], totals: np.ndarr
     return comp
 
 
-def near_classes(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, bands: int = 14, rows: int = 3, seed: int = 1, block: int = 1_500_000) -> DataFrame:
+def near_classes(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, bands: int = 14, rows: int = 3, seed: int = 1, block: int = 1_500_000, frequent: int = 64) -> DataFrame:
     """(k, rep): each text that may be a near copy, by text_key, with the smallest key of its class. Other texts are alone."""
     spark = docs.sparkSession
+    small_batches(spark)
+    docs = read_again(docs.select("text"))
     ranges = 1 << max(4, (2 * partitions(spark) - 1).bit_length())
     n_docs = docs.count()
     keyed = docs.select(text_key(F.col("text")).alias("k"), "text")
-    vec = cut(vectors(shared(hashed(keyed, ranges, words), ranges), n_docs, threshold, bands, rows, seed))
-    spark.sparkContext._jvm.System.gc()  # the shingles' shuffle files go once nothing refers to them
+    vec = cut(vectors(shared(hashed(keyed, ranges, words, frequent), ranges), n_docs, threshold, bands, rows, seed))
     keys = vec.select("k", F.posexplode("keys").alias("band", "key")).distinct()
     low = keys.groupBy("band", "key").agg(F.min("k").alias("v"), F.max("k").alias("high")).where("v <> high").drop("high")
     groups = cut(components(keys.join(low, ["band", "key"]).select(F.col("k").alias("u"), "v")).select(F.col("node").alias("k"), F.col("component").alias("g")))
@@ -294,7 +340,7 @@ def near_classes(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, ban
                 low[c] = min(low.get(c, key), key)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([low[c] for c in comp.tolist()], pa.binary())], names=["k", "rep"])
 
-    found = members.select("g", "k", "total", "hashes", "weights").repartition("g").sortWithinPartitions("g").mapInArrow(verify, "k binary, rep binary")
+    found = members.select("g", "k", "total", "hashes", "weights").repartition("g").sortWithinPartitions("g").mapInArrow(gives_back(verify), "k binary, rep binary")
     joined = side.select("k")
     if split:
         found = cut(components(found.select(F.col("k").alias("u"), F.col("rep").alias("v"))).select(F.col("node").alias("k"), F.col("component").alias("rep")))
