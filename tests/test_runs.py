@@ -125,6 +125,6 @@ def test_an_empty_search_term_is_one(spark, files):
 def test_grounding_uses_the_bound_prefixes(spark):
     """A root in the current cco namespace is grounded where the file doesn't bind it; one in the old namespace isn't."""
     head = "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix : <http://x/> . "
-    kg = KnowledgeGraph.from_text(spark, head + ":a rdfs:subClassOf <https://www.commoncoreontologies.org/ont00000995> . :b rdfs:subClassOf <http://www.ontologyrepository.com/CommonCoreOntologies/Agent> . :c rdfs:subClassOf <http://purl.obolibrary.org/obo/BFO_0000001> . :d rdfs:subClassOf <https://cwrusdle.bitbucket.io/mds/Top> .")
+    kg = KnowledgeGraph.from_text(spark, head + ":a rdfs:subClassOf <https://www.commoncoreontologies.org/ont00000995> . :b rdfs:subClassOf <http://www.ontologyrepository.com/CommonCoreOntologies/Agent> . :c rdfs:subClassOf <http://purl.obolibrary.org/obo/BFO_0000001> . :d rdfs:subClassOf <" + MDS + "Top> .")
     got = {r.qname: r.connected for r in metrics.semantic_connection(kg, tree=False).details["roots"].collect()}
     assert got == {"cco:ont00000995": True, "<http://www.ontologyrepository.com/CommonCoreOntologies/Agent>": False, "obo:BFO_0000001": True, "mds:Top": False}
