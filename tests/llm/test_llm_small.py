@@ -299,6 +299,10 @@ def test_language_id(spark, empty):
     docs = spark.createDataFrame([(i, make(one if i % 2 else two), "en" if i % 2 else "es") for i in range(60)] + [(70, None, "en"), (71, make(one), None), (72, "12 $ 3", "en")], "doc_id long, text string, lang string")
     model = langid.train(docs, max_rows=25)
     got = {x.doc_id: x for x in langid.predict(docs, model).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # many batches in a task
+    assert got == {x.doc_id: x for x in langid.predict(docs.coalesce(1), model).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert all(got[i].lang_pred == ("en" if i % 2 else "es") and 0.5 < got[i].score <= 1 for i in range(60))
     assert got[71].lang_pred == "en" and got[70].lang_pred == got[72].lang_pred == "und" and got[70].score == 0
     _, m = langid.label_words([make(one) + " " + make(two)], *model)
