@@ -59,6 +59,21 @@ def test_a_long_periodic_text_and_hot_buckets(spark):
     assert got == collections.Counter((i, *x) for i, x in enumerate(brute_repeats([t.encode() for t in texts], 400)))
 
 
+def test_hot_buckets_share_the_exchange_of_the_texts(spark):
+    """op9: with hot buckets the texts are shuffled as often as without, once, and the same bytes go."""
+    r, passage = random.Random(4), stock(110, 1)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)) + " " + passage for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written, found = [], []
+    for hot in (1 << 40, 8000):
+        before = spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+        found.append({x.k: (x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeats(df, hot=hot).collect()})
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        written.append(spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() - before)
+    assert found[0] == found[1] and len(found[0]) == 120 and all(x[1] == 1 for x in found[0].values())
+    assert written[0] > 2_000_000 and written[1] < 1.5 * written[0], written
+
+
 # op3
 
 
