@@ -248,9 +248,9 @@ def design_check(kg: KnowledgeGraph, required: tuple = (T.MDS + "inDomain", T.MD
 
 
 def _probed(kg: KnowledgeGraph, found: DataFrame, prober: probe.Prober, kind: str) -> MetricResult:
-    """found(graph_id, url): each occurrence counts; a URL is asked once."""
+    """found(graph_id, s, url): each occurrence counts; a URL is asked once, unless the answers are by subject too."""
     answers = prober(found, kind)
-    x = found.join(answers, "url", "left")
+    x = found.join(answers, [c for c in answers.columns if c != "ok"], "left")
     c = _per_graph(kg, x.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("reached")), total=0, reached=0)
     score = F.when(F.col("total") > 0, (F.col("reached") / F.col("total")).cast("string")).otherwise(F.lit("0"))
     return MetricResult(c.select("graph_id", score.alias("score")), {"counts": c, "urls": x})
@@ -258,11 +258,11 @@ def _probed(kg: KnowledgeGraph, found: DataFrame, prober: probe.Prober, kind: st
 
 def dump_urls(kg: KnowledgeGraph) -> DataFrame:
     p = [T.VOID + "dataDump", T.DCAT + "downloadURL", T.DCAT + "accessURL", T.FOAF + "homepage"]
-    return kg.pattern(*p).where("o_kind = 'iri'").where(F.lower("o").rlike(r"\.(?:rdf|ttl|nt|n3|owl|jsonld)")).select("graph_id", F.col("o").alias("url"))
+    return kg.pattern(*p).where("o_kind = 'iri'").where(F.lower("o").rlike(r"\.(?:rdf|ttl|nt|n3|owl|jsonld)")).select("graph_id", "s", F.col("o").alias("url"))
 
 
 def endpoint_urls(kg: KnowledgeGraph) -> DataFrame:
-    return kg.pattern(T.VOID + "sparqlEndpoint", T.DCAT + "accessURL", T.SD + "endpoint").where("o_kind = 'iri'").select("graph_id", F.col("o").alias("url"))
+    return kg.pattern(T.VOID + "sparqlEndpoint", T.DCAT + "accessURL", T.SD + "endpoint").where("o_kind = 'iri'").select("graph_id", "s", F.col("o").alias("url"))
 
 
 def rdf_dump(kg: KnowledgeGraph, prober: probe.Prober = probe.http) -> MetricResult:

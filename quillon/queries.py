@@ -332,8 +332,9 @@ def isolated_with_expressions(spark, d):
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE page_id % 2 = 0) AS reached, CAST(CAST(count(*) FILTER (WHERE page_id % 2 = 0) AS DOUBLE) / count(*) AS VARCHAR) AS score FROM pages WHERE url IS NOT NULL AND page_id % 11 = 0")
 def reached_endpoints(spark, d):
-    """The ratio of endpoints that answer, by a table of known answers."""
-    answers = tables.views(spark, d, ("pages",))["pages"].where("url is not null").select(F.concat("url", F.lit("/sparql")).alias("url"), F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status"))
+    """The ratio of endpoints that answer, by a table of known answers of each page, as pages may share a URL."""
+    page = F.concat(F.lit(f"{BASE}page"), F.col("page_id").cast("string"))
+    answers = tables.views(spark, d, ("pages",))["pages"].where("url is not null").select(page.alias("s"), F.concat("url", F.lit("/sparql")).alias("url"), F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status"))
     r = metrics.sparql_endpoint(tables.graph(spark, d), probe.known(answers))
     return r.details["counts"].join(r.score, "graph_id").select("total", "reached", "score")
 

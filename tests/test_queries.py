@@ -34,6 +34,21 @@ def test_the_rest_run(spark):
         assert queries.QUERIES[name](spark, str(SF)).count() > 0
 
 
+def test_pages_that_share_a_url_have_answers_of_their_own(spark, tmp_path):
+    for f in SF.glob("*.parquet"):
+        if f.stem != "pages":
+            (tmp_path / f.name).symlink_to(f)
+    rows = [(i, f"http://h/{i // 22}", "") for i in range(88)] + [(88, None, ""), (-22, "http://h/0", ""), (-11, "http://h/0", ""), (None, "http://h/0", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for f in SF.glob("*.parquet"):
+        if f.stem != "pages":
+            con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    for name in ("reached_endpoints", "endpoint_candidates", "dump_url_candidates"):
+        assert canonical(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == canonical(con.execute(queries.ORACLES[name]).df())
+
+
 def test_with_and_without_add_up(spark):
     r = queries.QUERIES["label_coverage"](spark, str(SF)).first()
     assert r.n_with + r.n_without == r.total == queries.QUERIES["named_classes"](spark, str(SF)).count()
