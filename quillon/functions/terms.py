@@ -63,13 +63,24 @@ def capitalised(local: Column) -> Column:
     return local.rlike(r"^\p{IsUppercase}")
 
 
-def with_qname(nodes: DataFrame, prefixes: DataFrame, column: str = "s", name: str = "qname") -> DataFrame:
-    """nodes(graph_id, column) plus prefix:local where the namespace is bound in the graph, else <uri>."""
+#: Tasks that share the nodes of one namespace where the prefixes are too many to go to each task.
+SHARES = 32
+
+
+def with_qname(nodes: DataFrame, prefixes: DataFrame, column: str = "s", name: str = "qname", few: bool = False) -> DataFrame:
+    """nodes(graph_id, column) plus prefix:local where the namespace is bound in the graph, else <uri>.
+
+    Most nodes of a graph have one namespace, so few prefixes go to every task, and others are repeated for shares of the nodes."""
     split = r"^(.*?)([\p{L}_][\p{L}\p{N}_.\-]*)?$"
     ns = F.regexp_extract(column, split, 1)
     x = nodes.withColumn("_ns", ns).withColumn("_local", F.regexp_extract(column, split, 2))
     bound = prefixes.groupBy("graph_id", F.col("ns").alias("_ns")).agg(F.max_by("prefix", "seq").alias("_prefix"))
-    x = x.join(bound, ["graph_id", "_ns"], "left")
+    if few:
+        x = x.join(F.broadcast(bound), ["graph_id", "_ns"], "left")
+    else:
+        x = x.withColumn("_share", F.pmod(F.xxhash64(column), F.lit(SHARES)).cast("int"))
+        bound = bound.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        x = x.join(bound, ["graph_id", "_ns", "_share"], "left").drop("_share")
     text = F.when(F.col("_prefix").isNotNull() & (F.col("_local") != ""), F.concat("_prefix", F.lit(":"), "_local")).otherwise(F.concat(F.lit("<"), F.col(column), F.lit(">")))
     return x.withColumn(name, text).drop("_ns", "_local", "_prefix")
 

@@ -52,6 +52,12 @@ class KnowledgeGraph:
         fixed = self.spark.createDataFrame([(-1, k, v) for k, v in T.BOUND.items()], "seq int, prefix string, ns string")
         return self.graphs.crossJoin(F.broadcast(fixed)).unionByName(self.prefixes)  # a few constant rows for each graph
 
+    @cached_property
+    def few_bound(self) -> bool:
+        """Whether the bound prefixes fit into 16 MB."""
+        size = sum(F.octet_length(c) for c in ("graph_id", "prefix", "ns")) + 64
+        return (self.bound.agg(F.sum(size)).first()[0] or 0) <= 16 << 20
+
     def typed(self, *types: str) -> DataFrame:
         """(graph_id, s, s_kind) of the subjects of one of the types, once each."""
         return self.triples.where((F.col("p") == T.TYPE) & F.col("o").isin(*types)).select("graph_id", "s", "s_kind").distinct()
@@ -93,7 +99,7 @@ class KnowledgeGraph:
         return self.typed(T.OWL + "ObjectProperty", T.OWL + "DatatypeProperty")
 
     def qnames(self, nodes: DataFrame, column: str = "s", name: str = "qname") -> DataFrame:
-        return T.with_qname(nodes, self.bound, column, name)
+        return T.with_qname(nodes, self.bound, column, name, self.few_bound)
 
     def labels(self, nodes: DataFrame) -> DataFrame:
         """nodes plus qname and preferred: the first prefLabel, else the first label, else the prefixed name."""
