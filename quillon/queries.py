@@ -365,8 +365,12 @@ def question_phrases_ascii(spark, d):
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """df with the place of each row in its own order."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    """df with the place of each row in its own order: the place in its partition after the rows of those before it."""
+    x = fixpoint.cut(df.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    sizes = x.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_part")) - F.col("n")  # one row for each partition
+    x = x.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return x.withColumn("place", (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_id", "_part", "_before")
 
 
 @query(f"SELECT s, CAST(row_number() OVER (ORDER BY CASE WHEN s_kind = 'bnode' THEN 0 ELSE 1 END, s) AS INTEGER) AS place FROM (SELECT DISTINCT s, s_kind FROM t WHERE p = '{T.TYPE}' AND o IN ('{T.OWL}Class', '{T.RDFS}Class') AND s NOT IN (SELECT o FROM t WHERE p = '{T.SUBCLASS}')) x", (), tables.RICH)

@@ -68,6 +68,14 @@ def largest(df):
     return max(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*df.columns))).collect())
 
 
+def test_places_are_counted_in_all_tasks(spark, plain_joins):
+    df = spark.range(1000).select((999 - F.col("id")).alias("k")).repartition(4).orderBy("k")
+    x = queries._numbered(df)
+    assert [(r.k, r.place) for r in x.orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]
+    assert dict(x.dtypes) == {"k": "bigint", "place": "int"} and largest(x) < 500
+    assert queries._numbered(df.where("k < 0")).collect() == []
+
+
 @pytest.mark.parametrize("few", (True, False))
 def test_nodes_of_one_namespace_are_named_in_all_tasks(spark, plain_joins, few):
     g = KnowledgeGraph(spark.createDataFrame([], "graph_id string, s string"), spark.createDataFrame([("g", 0, "old", "http://e/#"), ("g", 1, "ex", "http://e/#")], "graph_id string, seq int, prefix string, ns string"), graphs=spark.createDataFrame([("g",)], "graph_id string"))
